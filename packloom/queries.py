@@ -1,0 +1,6 @@
+"""Registered queries of the context-pack operators, with their SQL oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
