@@ -33,8 +33,8 @@ classes AS (
   SELECT min(doc_id) AS cid, list_sort(s) AS key, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
 items AS (SELECT cid, n, unnest(key) AS item FROM classes),
 rare AS (SELECT *, count(*) OVER (PARTITION BY item) AS df FROM items),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY df, item) AS at FROM rare),
-prefix AS (SELECT * FROM ranked WHERE at <= n - (n * 90 + 99) // 100 + 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY df, item) AS place FROM rare),
+prefix AS (SELECT * FROM ranked WHERE place <= n - (n * 90 + 99) // 100 + 1),
 cand AS (
   SELECT DISTINCT a.cid AS a, b.cid AS b FROM prefix a JOIN prefix b ON a.item = b.item AND a.cid < b.cid
   WHERE least(a.n, b.n) * 100 >= 90 * greatest(a.n, b.n)),
