@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from .jaccard_join import jaccard_join
+from .packing import best_fit_packing
+from .quality import quality_scores
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +20,31 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies; never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("ord")
+
+
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality": op8_quality,
+}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -40,9 +67,9 @@ cand AS (
   WHERE least(a.n, b.n) * 100 >= 90 * greatest(a.n, b.n)),
 links AS (
   SELECT a, b FROM (
-    SELECT cand.a, cand.b, len(list_intersect(x.key, y.key)) AS both, x.n + y.n AS total
+    SELECT cand.a, cand.b, len(list_intersect(x.key, y.key)) AS common, x.n + y.n AS total
     FROM cand JOIN classes x ON x.cid = cand.a JOIN classes y ON y.cid = cand.b)
-  WHERE 100 * both >= 90 * (total - both)),
+  WHERE 100 * common >= 90 * (total - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT cid AS node, cid AS root FROM classes
