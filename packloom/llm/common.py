@@ -73,6 +73,9 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation, for words without the marks around them.
+MARKS = _SPACE.copy()
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -97,17 +100,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words of texts that lie side by side in ``data``.
 
     ``starts``: len(texts) + 1 byte offsets, from 0. Words are runs of bytes
-    other than 0x20 and 0x09-0x0D; none spans two texts. Returns each word's
+    other than ``gaps`` (0x20 and 0x09-0x0D); none spans two texts. Returns each word's
     64-bit hash and text number, and the byte at which it starts.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~_SPACE[data]
+    ink = ~gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     first = ink.copy()

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from .decontamination import leaks
 from .jaccard_join import jaccard_join
 from .packing import best_fit_packing
 from .quality import quality_scores
@@ -39,11 +40,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("ord")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality": op8_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
