@@ -196,7 +196,7 @@ def _packed(capacity: int):
         lengths = pdf["length"].to_numpy()
         bins, offsets = sum_of_squares(lengths, capacity)
         _refilled(lengths, bins, offsets, capacity)
-        return pdf.assign(sequence_id=(pdf["shard"].astype("int64") << 32) + bins, offset=offsets)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return pdf.assign(sequence_id=pdf["shard"].astype("int64") * 2**32 + bins, offset=offsets)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     return run
 
