@@ -7,16 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from .decontamination import leaks
+from .html_text import extract_text
 from .jaccard_join import jaccard_join
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .toxicity import toxicity_scores
+from .url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+#: The rules of the url query (fixed values).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
 
@@ -46,6 +60,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
+    "op4_url_verdicts": op4_url_verdicts,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality": op8_quality,
