@@ -9,6 +9,7 @@ from pyspark.sql import functions as F  # noqa: F401
 from .decontamination import leaks
 from .html_text import extract_text
 from .jaccard_join import jaccard_join
+from .order_minhash import order_minhash
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .toxicity import toxicity_scores
@@ -54,6 +55,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("ord")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality": op8_quality,
+    "op9_order_minhash": op9_order_minhash,
     "op10_decontamination": op10_decontamination,
 }
 
