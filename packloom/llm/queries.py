@@ -11,6 +11,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_join
 from .order_minhash import order_minhash
 from .packing import best_fit_packing
+from .pitman_yor import language_scores
 from .quality import quality_scores
 from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
@@ -51,6 +52,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("ord")
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op4_url_verdicts": op4_url_verdicts,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_quality": op8_quality,
     "op9_order_minhash": op9_order_minhash,
     "op10_decontamination": op10_decontamination,
