@@ -11,6 +11,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_join
 from .order_minhash import order_minhash
 from .packing import best_fit_packing
+from .pii import pii_digest
 from .pitman_yor import language_scores
 from .quality import quality_scores
 from .toxicity import toxicity_scores
@@ -44,6 +45,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,6 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_url_verdicts": op4_url_verdicts,
