@@ -1,8 +1,9 @@
 """Set-similarity self-join on word shingles: grouped prefix join.
 
 The method (a GroupJoin): shingles get one global order; two sets of Jaccard
-similarity t or more must share a shingle among the first
-``n - ceil(t n) + 1`` of each. Documents with identical prefixes and sizes
+similarity t or more must share ``SHARED`` shingles among the first
+``n - ceil(t n) + SHARED`` of each (one would do, but unrelated texts share one
+by chance all too often as a corpus grows). Documents with identical prefixes and sizes
 collapse into one group, pairs of groups are filtered by size and position,
 then groups expand into members and full sets are compared.
 
@@ -18,9 +19,9 @@ are one class from the start; a posting list longer than ``long_list`` links
 its groups into a chain by size, which puts every pair that may match into the
 same candidate component at linear cost (a shingle in more than ``hub_list``
 sets has no list at all, its groups link to a node that stands for it and a
-step of set size); components are then compared by
-pivots in memory (copies of one text need one pivot), in tasks of bounded
-size: a component that is too big for one task is cut into blocks and every
+step of set size). Components are then joined exactly in memory - prefixes once
+more, now in the order that suits these sets best, then pivots: copies of one
+text need one pivot - in tasks of bounded size: a component that is too big for one task is cut into blocks and every
 pair of blocks that may match is its own task.
 """
 
@@ -38,6 +39,10 @@ from .common import U64, chain, stage_table, text_chunks, words_of
 from .components import components
 
 
+#: Shingles that matching sets must share in their prefixes.
+SHARED = 3
+
+
 def _sets(column: pa.Array, n: int):
     """Each text's shingle set as a sorted array of 64-bit hashes."""
     for i, j, data, offs in text_chunks(column):
@@ -58,6 +63,12 @@ def _need(n, t_num: int, t_den: int):
     return -(-n * t_num // t_den)
 
 
+def _prefix_length(n, t_num: int, t_den: int):
+    """Any two matching sets share ``SHARED`` shingles in prefixes this long,
+    save sets that small that only equal ones match."""
+    return n - _need(n, t_num, t_den) + SHARED
+
+
 def _fingerprint(x: np.ndarray) -> int:
     """Of a whole set, signed for Spark's long."""
     with np.errstate(over="ignore"):
@@ -76,7 +87,7 @@ def _profile(n: int, t_num: int, t_den: int):
             for x in _sets(b.column(1), n):
                 size.append(len(x))
                 fp.append(_fingerprint(x) if len(x) else None)
-                p = len(x) - _need(len(x), t_num, t_den) + 1
+                p = _prefix_length(len(x), t_num, t_den)
                 low.append(x[: max(int(np.searchsorted(x, bound)), p)].tobytes() if len(x) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(low, pa.binary())], ["id", "n_shingles", "fp", "low"])
 
@@ -139,10 +150,9 @@ class _Order:
     """The global order: low rare shingles by hash, low common ones by count,
     then the rest by hash."""
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray, bound: int, hub: int):
+    def __init__(self, common: np.ndarray, bound: int):
         o = np.argsort(common)
         self.h, self.rank, self.bound = common[o], o, U64(bound)
-        self.hubs = np.sort(common[counts > hub])
 
     def prefix(self, low: np.ndarray, p: int) -> np.ndarray:
         end = int(np.searchsorted(low, self.bound))
@@ -158,42 +168,48 @@ class _Order:
         return x[:p] if len(x) >= p else np.concatenate((x, low[end:]))[:p]
 
 
-def _prefixes(batch, order, t_num, t_den):
-    for fp, n, low in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-        p = order.prefix(np.frombuffer(low, np.uint64), n - _need(n, t_num, t_den) + 1)
-        yield fp, n, p, int(chain(np.concatenate((p[:1] + U64(n), [np.bitwise_xor.reduce(p), p.sum()])), 3).view(np.int64)[0])
-
-
-def _groups(order, t_num, t_den):
-    """(fp, n, low) -> (fp, grp): which group a class is in."""
+def _prefixed(order, t_num, t_den):
+    """(fp, n, low) -> (fp, n, grp, prefix): each class's group is named by
+    its size and prefix."""
 
     def run(batches):
         for b in batches:
-            rows = [(fp, g) for fp, _, _, g in _prefixes(b, order.value, t_num, t_den)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["fp", "grp"])
+            names, prefixes = [], []
+            for n, low in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                p = order.value.prefix(np.frombuffer(low, np.uint64), _prefix_length(n, t_num, t_den))
+                prefixes.append(p.tobytes())
+                names.append((n, p[0], np.bitwise_xor.reduce(p), p.sum()))
+            k = np.array(names, np.uint64).reshape(-1, 4)
+            grp = chain(k.ravel(), 4)[::4].view(np.int64) if len(k) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grp), pa.array(prefixes, pa.binary())], ["fp", "n", "grp", "prefix"])
 
     return run
 
 
-def _postings(order, t_num, t_den, buckets):
-    """(fp, n, low) -> prefix entries of each group, packed by bucket."""
+_ENTRY = [("h", "<u8"), ("g", "<i8"), ("n", "<i4"), ("at", "<i4")]
+
+
+def _entries(batch) -> np.ndarray:
+    """(n, grp, prefix) -> one entry per shingle of each group's prefix."""
+    n, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    _, first = np.unique(g, return_index=True)
+    prefixes = batch.column(2).to_pylist()
+    size = np.array([len(prefixes[i]) // 8 for i in first], np.int64)
+    e = np.empty(size.sum(), _ENTRY)
+    e["h"] = np.frombuffer(b"".join(prefixes[i] for i in first), np.uint64)
+    e["g"], e["n"] = np.repeat(g[first], size), np.repeat(n[first], size)
+    e["at"] = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+    return e
+
+
+def _postings(hubs, buckets):
+    """Prefix entries of each group, packed by bucket; hubs aside."""
 
     def run(batches):
         for b in batches:
-            seen, parts = set(), []
-            for _, n, p, g in _prefixes(b, order.value, t_num, t_den):
-                if g not in seen:
-                    seen.add(g)
-                    parts.append((p, g, n))
-            if not parts:
-                continue
-            parts = [(p[~np.isin(p, order.value.hubs)], g, n) for p, g, n in parts]
-            size = [len(p) for p, _, _ in parts]
-            e = np.empty(sum(size), [("h", "<u8"), ("g", "<i8"), ("n", "<i4"), ("at", "<i4")])
-            e["h"] = np.concatenate([p for p, _, _ in parts])
-            e["g"] = np.repeat(np.array([g for _, g, _ in parts]), size)
-            e["n"] = np.repeat(np.array([n for _, _, n in parts]), size)
-            e["at"] = np.concatenate([np.arange(s) for s in size])
+            e = _entries(b)
+            if len(hubs.value):
+                e = e[~np.isin(e["h"], hubs.value)]
             which = (e["h"] % U64(buckets)).astype(np.int64)
             o = np.argsort(which, kind="stable")
             cut = np.searchsorted(which[o], np.arange(buckets + 1))
@@ -203,59 +219,124 @@ def _postings(order, t_num, t_den, buckets):
     return run
 
 
-def _hubs(order, t_num, t_den):
-    """(fp, n, low) -> edges from a group to a node for each very common
-    shingle of its prefix and step of set size. Two sizes that may match are
-    in the same step or in neighbouring ones, so each group goes to its step
-    and the next: no list of the shingle's groups is ever made."""
+def _hubs(hubs, t_num, t_den):
+    """Edges from a group to a node for each hub of its prefix and step of set
+    size. Two sizes that may match are in the same step or in neighbouring
+    ones, so each group goes to its step and the next: no list of the hub's
+    groups is ever made."""
     base = math.log(t_den / t_num) if t_num < t_den else 1e-9
 
     def run(batches):
         for b in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, n, p, g in _prefixes(b, order.value, t_num, t_den):
-                for h in p[np.isin(p, order.value.hubs)]:
-                    step = int(math.log(n) / base)
-                    us.append(np.full(2, g, np.int64))
-                    vs.append(chain(np.array([h, step, h, step + 1], np.uint64), 2)[::2].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+            e = _entries(b) if len(hubs.value) else np.zeros(0, _ENTRY)
+            e = e[np.isin(e["h"], hubs.value)]
+            step = np.floor(np.log(e["n"]) / base).astype(np.uint64)
+            v = [chain(np.column_stack((e["h"], step + U64(k))).ravel(), 2)[::2].view(np.int64) if len(e) else e["g"] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((e["g"], e["g"]))), pa.array(np.concatenate(v))], ["u", "v"])
 
     return run
 
 
-def _candidates(t_num: int, t_den: int, long_list: int):
-    """Pairs of groups in a bucket that may hold a link (short lists), or that
-    connect all groups that may (long lists)."""
+def _union(m: int):
+    parent = list(range(m))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    return parent, find
+
+
+def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From prefix entries: pairs of groups that connect whatever may match,
+    with weights. Lists of two or three groups give every pair a weight of
+    one. Of a list of up to ``long_list`` groups a spanning forest of the pairs
+    that sizes and positions allow is kept, of a longer one a chain by size;
+    they count as ``SHARED``, being enough on their own."""
+    o = np.lexsort((g, n, h))
+    h, g, n, at = h[o], g[o], n[o].astype(np.int64), at[o].astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    h, g, n, at = h[new], g[new], n[new], at[new]
+    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+    size = np.diff(edge)
+    us, vs, ws = [], [], []
+
+    def keep(i, j):
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        return (n[i] * t_den >= t_num * n[j]) & (most * t_den >= t_num * (n[i] + n[j] - most))
+
+    two, three = edge[:-1][size == 2], edge[:-1][size == 3]
+    for i, j in ((two, two + 1), (three, three + 1), (three, three + 2), (three + 1, three + 2)):
+        ok = keep(i, j)
+        us.append(g[i[ok]])
+        vs.append(g[j[ok]])
+        ws.append(np.ones(ok.sum(), np.int64))
+    for a, k in zip(edge[:-1][size > 3], size[size > 3], strict=True):
+        if k > long_list:
+            i = np.arange(a, a + k - 1)
+            i = i[n[i] * t_den >= t_num * n[i + 1]]
+            us.append(g[i])
+            vs.append(g[i + 1])
+            ws.append(np.full(len(i), SHARED))
+            continue
+        i, j = np.triu_indices(k, 1)
+        ok = keep(a + i, a + j)
+        i, j = i[ok], j[ok]
+        if len(i) >= k:
+            _, find = (forest := _union(k))
+            kept = []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p != q:
+                    forest[0][q] = p
+                    kept.append((x, y))
+                    if len(kept) == k - 1:
+                        break
+            i, j = np.array(kept, np.int64).T
+        us.append(g[a + i])
+        vs.append(g[a + j])
+        ws.append(np.full(len(i), SHARED))
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
 
+
+def _candidates(t_num: int, t_den: int, long_list: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = np.frombuffer(b"".join(pdf["e"]), [("h", "<u8"), ("g", "<i8"), ("n", "<i4"), ("at", "<i4")])
-        e = e[np.lexsort((e["g"], e["n"], e["h"]))]
-        again = (e["h"][1:] == e["h"][:-1]) & (e["g"][1:] == e["g"][:-1])
-        e = e[np.concatenate(([True], ~again))]
-        edge = np.flatnonzero(np.concatenate(([True], e["h"][1:] != e["h"][:-1], [True])))
-        size = np.diff(edge)
-        us, vs = [], []
-        for a, k in zip(edge[:-1][size > 1], size[size > 1], strict=True):
-            x = e[a : a + k]
-            n = x["n"].astype(np.int64)
-            if k > long_list:
-                i, j = np.arange(k - 1), np.arange(1, k)
-                ok = n[i] * t_den >= t_num * n[j]
-            else:
-                i, j = np.triu_indices(k, 1)
-                at = x["at"].astype(np.int64)
-                most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-                ok = (n[i] * t_den >= t_num * n[j]) & (most * t_den >= t_num * (n[i] + n[j] - most))
-            us.append(x["g"][i[ok]])
-            vs.append(x["g"][j[ok]])
-        if not us:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+        e = np.frombuffer(b"".join(pdf["e"]), _ENTRY)
+        u, v, w = _near(e["h"], e["g"], e["n"], e["at"], t_num, t_den, long_list)
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "w": w}).groupby(["u", "v"], as_index=False).sum()
 
     return run
 
 
+def links_among(sets: list[np.ndarray], t_num: int, t_den: int, long_list: int = 400) -> list[tuple[int, int]]:
+    """Links that connect what is linked at all among ``sets``, exactly. The
+    prefix filter once more, now with the order that suits these sets best
+    (whole sets, rarest here first); what it leaves goes to ``links_within``."""
+    m = len(sets)
+    if m < 4:
+        return links_within(sets, t_num, t_den)
+    size = np.array([len(x) for x in sets], np.int64)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    _, token, count = np.unique(every, return_inverse=True, return_counts=True)
+    o = np.lexsort((token, count[token], owner))
+    at = np.arange(len(o)) - np.repeat(np.cumsum(size) - size, size)
+    token, owner = token[o], owner[o]
+    ok = (at < (size - _need(size, t_num, t_den) + 1)[owner]) & (count[token] > 1)
+    u, v, _ = _near(token[ok], owner[ok], size[owner[ok]], at[ok], t_num, t_den, long_list)
+    parent, find = _union(m)
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        parent[find(a)] = find(b)
+    members: dict[int, list[int]] = {}
+    for i in np.unique(np.concatenate((u, v))).tolist():
+        members.setdefault(find(i), []).append(i)
+    out = []
+    for part in members.values():
+        out += [(part[i], part[j]) for i, j in links_within([sets[k] for k in part], t_num, t_den)]
+    return out
+
+
 def links_within(sets: list[np.ndarray], t_num: int, t_den: int) -> list[tuple[int, int]]:
     """Links that connect what is linked at all, exactly: pairs (i, j) such
     that any two sets joined by links are joined by returned ones.
@@ -267,12 +348,7 @@ def links_within(sets: list[np.ndarray], t_num: int, t_den: int) -> list[tuple[i
     m = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     every, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
-    parent = list(range(m))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    parent, find = _union(m)
 
     def linked(i):
         k = np.searchsorted(sets[i], every)
@@ -305,7 +381,7 @@ def links_within(sets: list[np.ndarray], t_num: int, t_den: int) -> list[tuple[i
 def _verified(n: int, t_num: int, t_den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("fp")
-        got = links_within([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], t_num, t_den)
+        got = links_among([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], t_num, t_den)
         fp = pdf["fp"].to_numpy()
         return pd.DataFrame({"u": [fp[i] for i, _ in got], "v": [fp[j] for _, j in got]}, dtype="int64")
 
@@ -332,8 +408,8 @@ def jaccard_join(
     threshold: tuple[int, int] = (8, 10),
     id_col: str = "doc_id",
     text_col: str = "text",
-    long_list: int = 16,
-    hub_list: int = 1000,
+    long_list: int = 400,
+    hub_list: int = 100_000,
     common_least: int = 4,
     common_most: int = 1 << 20,
     task_shingles: int = 4_000_000,
@@ -366,13 +442,16 @@ def jaccard_join(
         buckets = max(12, math.ceil(held / 8 / 2e6))
     some = rows.where("fp is not null")
     common, counts = _common(some.select("low"), buckets, bound, common_least, common_most)
-    order = spark.sparkContext.broadcast(_Order(common, counts, bound, hub_list))
+    order = spark.sparkContext.broadcast(_Order(common, bound))
+    hubs = spark.sparkContext.broadcast(np.sort(common[counts > hub_list]))
     low = some.select("fp", "n_shingles", "low")
-    groups = low.mapInArrow(_groups(order, t_num, t_den), "fp long, grp long").distinct()
-    groups = stage_table(groups, "groups")
-    pairs = low.mapInArrow(_postings(order, t_num, t_den, buckets), "bucket int, e binary")
-    pairs = pairs.groupBy("bucket").applyInPandas(_candidates(t_num, t_den, long_list), "u long, v long")
-    near = components(pairs.union(low.mapInArrow(_hubs(order, t_num, t_den), "u long, v long")), in_one_task)
+    grouped = stage_table(low.mapInArrow(_prefixed(order, t_num, t_den), "fp long, n long, grp long, prefix binary"), "prefixes")
+    groups = grouped.select("fp", "grp").distinct()
+    entries = grouped.select("n", "grp", "prefix")
+    pairs = entries.mapInArrow(_postings(hubs, buckets), "bucket int, e binary")
+    pairs = pairs.groupBy("bucket").applyInPandas(_candidates(t_num, t_den, long_list), "u long, v long, w long")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("u", "v")
+    near = components(pairs.union(entries.mapInArrow(_hubs(hubs, t_num, t_den), "u long, v long")), in_one_task)
 
     # Expand groups into classes; a group of several classes is itself a candidate.
     classes = some.groupBy("fp").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"))
@@ -395,6 +474,22 @@ def jaccard_join(
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with all columns, less near copies: of each component the
+    document with the smallest id stays. Rows that repeat an id and a text are
+    copies too. Texts without words and rows without an id stay.
+    """
+    links = jaccard_join(docs, words, threshold, id_col, text_col, **options)
+    gone = links.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    with_id = docs.where(F.col(id_col).isNotNull())
+    kept = with_id.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    kept = kept.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark]).select(*docs.columns)
+    return kept.union(docs.where(F.col(id_col).isNull()))
+
+
 def _tasks(cands: DataFrame, totals: DataFrame, task_shingles: int, t_num: int, t_den: int) -> DataFrame:
     """(fp, first, tasks): the tasks that each class takes part in. A
     component of up to ``task_shingles`` is one task. A larger one is cut into

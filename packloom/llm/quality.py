@@ -74,7 +74,7 @@ def _measured(batches):
         x = statistics(b.column(1))
         values = pa.array(x.ravel(), pa.float64())
         stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([b.column(0), stats, b.column(2), b.column(3)], ["id", "stats", "held_out", "ord"])
+        yield pa.RecordBatch.from_arrays([b.column(0), stats, b.column(2)], ["id", "stats", "held_out"])
 
 
 class _Model:
@@ -167,6 +167,33 @@ def fit(train: DataFrame, features: int = 256, ridge: float = 0.1, bandwidth: fl
     return model
 
 
+def _learnt(measured: DataFrame, labels: DataFrame, label: str, id_col: str):
+    """Broadcast model from rows (id, stats, held_out, ...) and labels by id."""
+    marks = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"))
+    train = stage_table(measured.where("not held_out").join(marks, "id").select("stats", "label"), "training")
+    return measured.sparkSession.sparkContext.broadcast(fit(train))
+
+
+def _measure(docs: DataFrame, held_out: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = source.withColumn("held_out", remainder("id", held_out[0]) == held_out[1])
+    kind = source.schema["id"].dataType.simpleString()
+    return stage_table(source.mapInArrow(_measured, f"id {kind}, stats array<double>, held_out boolean"), "statistics")
+
+
+def good_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``quality_scores`` would
+    predict 1."""
+    model = _learnt(_measure(docs, held_out, id_col, text_col), labels, label, id_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.value.score(statistics(b.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -180,26 +207,21 @@ def quality_scores(
     text) mod ``held_out[0]`` is not ``held_out[1]``.
 
     Returns per row of ``docs``: id_col, held_out boolean, score double (0 to
-    1), predicted int (1 if score >= threshold), and ``ord`` long, a number of
-    the row for joining back. Only the text is an input of a score. Null texts
-    are empty; an empty text gets the score of its (all zero) statistics. Null
+    1), predicted int (1 if score >= threshold). Only the text is an input of a
+    score. Null texts are empty; an empty text gets the score of its (all zero) statistics. Null
     ids are scored, never learnt from. Null labels are skipped; an id with
     several labels counts once for each. Empty input: no rows.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    source = source.withColumn("held_out", remainder("id", held_out[0]) == held_out[1]).withColumn("ord", F.monotonically_increasing_id())
-    kind = source.schema["id"].dataType.simpleString()
-    measured = stage_table(source.mapInArrow(_measured, f"id {kind}, stats array<double>, held_out boolean, ord long"), "statistics")
-    marks = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"))
-    train = stage_table(measured.where("not held_out").join(marks, "id").select("stats", "label"), "training")
-    model = measured.sparkSession.sparkContext.broadcast(fit(train))
+    measured = _measure(docs, held_out, id_col, text_col)
+    model = _learnt(measured, labels, label, id_col)
+    kind = measured.schema["id"].dataType.simpleString()
 
     def scored(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, N_STATS)
             s = model.value.score(x)
-            cols = [b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), b.column(3)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "score", "predicted", "ord"])
+            cols = [b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "score", "predicted"])
 
-    out = measured.mapInArrow(scored, f"id {kind}, held_out boolean, score double, predicted int, ord long")
+    out = measured.mapInArrow(scored, f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from packloom.llm.jaccard_join import jaccard_join, links_within
+from packloom.llm.jaccard_join import jaccard_join, links_among, links_within
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -87,7 +87,9 @@ def test_links_within_changes_its_largest_component():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 10 * both >= 9 * (len(sets[i]) + len(sets[j]) - both):
                 full[find(full, i)] = find(full, j)
-        for i, j in links_within(sets, 9, 10):
-            root[find(root, i)] = find(root, j)
-        pairs = combinations(range(len(sets)), 2)
-        assert all((find(root, i) == find(root, j)) == (find(full, i) == find(full, j)) for i, j in pairs)
+        for links in (links_within, links_among, lambda *x: links_among(*x, long_list=3)):
+            root = list(range(len(sets)))
+            for i, j in links(sets, 9, 10):
+                root[find(root, i)] = find(root, j)
+            pairs = combinations(range(len(sets)), 2)
+            assert all((find(root, i) == find(root, j)) == (find(full, i) == find(full, j)) for i, j in pairs)
