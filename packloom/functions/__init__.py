@@ -1,0 +1 @@
+"""Column expressions: nothing here leaves the JVM, save exact BPE counts."""

@@ -1,0 +1 @@
+"""Whole packs: configuration, assembly, rendering."""
