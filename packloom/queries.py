@@ -11,7 +11,7 @@ from .operators import budget, findings, relations, scrub
 from .plans import render
 from .plans.config import PRESETS
 from .plans.pack import PackBuilder
-from .sources import diagnostics, files, git
+from .sources import diagnostics, files, git, rust
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -870,3 +870,46 @@ def _(spark, d):
     ex = F.when(F.col("doc_id") % 2 == 0, names("x", "y")).otherwise(names())
     counts = {"diff": F.col("doc_id") % 3, "scoped": F.lit(0), "impact": F.col("doc_id") % 5, "include": F.lit(0)}
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", render.scope_filters(names("i"), ex, names(), counts).alias("text"))
+
+
+# --- Rust sources (approximate), JSON for other programs ------------------------------
+
+
+def _rust(spark, d):
+    quoted = F.translate(F.substring("text", 1, 80), '"\\\n', "   ")
+    name = F.concat_ws("_", "lang", "source", F.col("doc_id").cast("string"))
+    lit = F.lit
+    source = F.concat(
+        lit("use std::{a, b};\n/* } */ pub fn "), name, lit('(x: [u8; 4]) -> u8 { let s = "'), quoted, lit('}"; if x { 1 } else { 2 } }\nfn hidden() {}\npub struct S { pub a: u8 }\nimpl S { pub fn m() {} }\n'),
+        lit("#[cfg(test)]\nmod tests {\n  #[test]\n  fn t_"), name, lit("() { assert!(true) }\n  #[tokio::test(flavor = \"x\")]\n  async fn u() {}\n  fn helper() {}\n}\n"),
+    )
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", name.alias("name"), source.alias("source"))
+
+
+_RUST_NAME = "lang || '_' || source || '_' || doc_id"
+
+
+@query("flt_public_api", f"SELECT doc_id, 'pub fn ' || {_RUST_NAME} || '(x: [u8; 4]) -> u8 {{ /* ... */ }}' || chr(10) || 'pub struct S {{ pub a: u8 }}' AS api FROM documents")
+def _(spark, d):
+    return _rust(spark, d).select("doc_id", rust.public_outline(F.col("source")).alias("api"))
+
+
+@query("flt_test_attr", f"SELECT doc_id, 'fn t_' || {_RUST_NAME} || '(),async fn u()' AS tests FROM documents")
+def _(spark, d):
+    return _rust(spark, d).select("doc_id", F.array_join(rust.signatures_of_tests(F.col("source")), ",").alias("tests"))
+
+
+@query("fn_body_strip", f"SELECT doc_id, 'use std::{{a, b}};' || chr(10) || 'pub fn ' || {_RUST_NAME} || '(x: [u8; 4]) -> u8 {{ /* ... */ }}' || chr(10) || 'fn hidden() {{ /* ... */ }}' AS head FROM documents")
+def _(spark, d):
+    lines = F.split(rust.outline(F.col("source")), "\n")
+    return _rust(spark, d).select("doc_id", F.array_join(F.slice(lines, 1, 3), "\n").alias("head"))
+
+
+@query("src_expand_gate", f"SELECT lang, bool_or(ends_with(path, '.rs')) AS wanted FROM {duck('paths')} GROUP BY lang")
+def _(spark, d):
+    return relation(spark, d, "paths").groupBy("lang").agg(F.bool_or(F.col("path").endswith(".rs")).alias("wanted"))
+
+
+@query("sink_mcp_json", _RULES_ONLY + """ SELECT doc_id, '{"path":"' || path || '","text":"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"}' AS json FROM done""")
+def _(spark, d):
+    return _scrubbed(spark, d, _NO_ENTROPY).select("doc_id", F.to_json(F.struct("path", "text")).alias("json"))
