@@ -123,30 +123,32 @@ class Vocabulary:
         return np.concatenate((context * self.n_dishes + dish, end * self.n_dishes + END)), dish
 
 
-def _cell_counts(vocabulary, lanes: int):
+def _cell_counts(vocabulary, slices: int, fan_in: int):
+    """Counts of a whole task's cells (a bounded number), cut into slices."""
+
     def run(batches):
-        lane = TaskContext.get().partitionId() % lanes
+        group = TaskContext.get().partitionId() // fan_in
+        total = np.zeros(vocabulary.value.n_contexts * vocabulary.value.n_dishes, np.int64)
         for b in batches:
-            parts = []
             for i, j, data, offs in text_chunks(b.column(0)):
                 h, doc, _ = words_of(data, offs)
-                parts.append(np.unique(vocabulary.value.cells(h, doc, j - i)[0], return_counts=True))
-            if parts:
-                yield _packed_cells(lane, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                cell, n = np.unique(vocabulary.value.cells(h, doc, j - i)[0], return_counts=True)
+                total[cell] += n
+        for k in range(slices):
+            cell = np.flatnonzero(total[k::slices]) * slices + k
+            if len(cell):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group], pa.int32()), pa.array([k], pa.int32()), pa.array([cell.tobytes()], pa.binary()), pa.array([total[cell].tobytes()], pa.binary())], ["grp", "slice", "cell", "n"]
+                )
 
     return run
 
 
-def _packed_cells(lane, cell, n):
-    cell, back = np.unique(cell, return_inverse=True)
-    n = np.bincount(back, n, minlength=len(cell)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([cell.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["lane", "cell", "n"])
-
-
 def _joined_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     cell = np.frombuffer(b"".join(pdf["cell"]), np.int64)
-    got = _packed_cells(0, cell, np.frombuffer(b"".join(pdf["n"]), np.int64))
-    return got.to_pandas()[["cell", "n"]]
+    cell, back = np.unique(cell, return_inverse=True)
+    n = np.bincount(back, np.frombuffer(b"".join(pdf["n"]), np.int64), minlength=len(cell)).astype(np.int64)
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "cell": [cell.tobytes()], "n": [n.tobytes()]})
 
 
 def seat(customers, rest, base, theta: float, d: float, rng) -> np.ndarray:
@@ -330,7 +332,7 @@ def language_scores(
     dish_share: float = 2e-4,
     context_share: float = 2e-3,
     table_share: float = 2e-6,
-    bucket_tokens: int = 2_000_000,
+    bucket_tokens: int = 400_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -369,7 +371,9 @@ def language_scores(
     head_h, head_c = head_h[o], head_c[o]
     vocabulary = Vocabulary(head_h, head_c, max(dish_share * tokens, 2), max(context_share * tokens, 2))
     known = spark.sparkContext.broadcast(vocabulary)
-    cells = train.mapInArrow(_cell_counts(known, 16), "lane int, cell binary, n binary").groupBy("lane").applyInPandas(_joined_cells, "cell binary, n binary").collect()
+    # Summed in two levels, so no task reads more than a slice of fan_in tasks' counts.
+    cells = train.mapInArrow(_cell_counts(known, 16, 64), "grp int, slice int, cell binary, n binary").groupBy("grp", "slice").applyInPandas(_joined_cells, "slice int, cell binary, n binary")
+    cells = cells.groupBy("slice").applyInPandas(_joined_cells, "slice int, cell binary, n binary").collect()
     counts = np.zeros(vocabulary.n_contexts * vocabulary.n_dishes, np.int64)
     for r in cells:
         np.add.at(counts, np.frombuffer(r.cell, np.int64), np.frombuffer(r.n, np.int64))
