@@ -1,22 +1,18 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Restaurants. A token is mapped to a dish: one of the frequent words, the end,
-or "rare". Each frequent context (the word before, or the start) has a
-restaurant over the dishes; all of them, and tokens after other words, have one
-parent. Seatings are sampled by Gibbs: a dish's customers in a restaurant leave
-and take seats again given everybody else, new tables become customers of the
-parent, and the predictive probabilities of several samples are averaged.
-Frequent means a share of all tokens, so restaurants are bounded in number
-(by one over the share) at any size of the corpus.
-
-Below "rare" is one Pitman-Yor restaurant over all other words, as many as
-there are: a word of c tokens has c - d of its mass, and the mass of new
-tables is the probability of one unknown type - the sample space is that of
-the baseline, known types and one more.
-
-Counts are exact and never broadcast beyond a proven bound: words above a
-share of the tokens go out as a table; all others meet their counts in
-buckets. What is shuffled are packed arrays, pre-aggregated by batch.
+Restaurants. Every word that training texts hold, and the start of a text, is
+a context and has a restaurant over the words that follow it (a word or the
+end); all restaurants have one parent, a restaurant over all types and one
+unknown - the sample space is that of the baseline. Seatings are sampled by
+Gibbs: a word's customers in a restaurant leave and take seats again given
+everybody else, new tables become customers of the parent, and the predictive
+probabilities of several samples are averaged. Contexts and words are all
+there are: counts of pairs are sparse, and what a cell needs of its context
+and its word comes by joins. Unknown contexts give the parent's probability.
+
+Counts are exact and never broadcast beyond a proven bound: words and pairs
+above a share of the tokens go out as tables; all others meet their counts and
+probabilities in buckets. What is shuffled are packed arrays, pre-aggregated by batch.
 """
 
 from __future__ import annotations
@@ -30,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, remainder, stage_table, text_chunks, words_of
+from .common import U64, mix, remainder, stage_table, text_chunks, words_of
 
-RARE, END = 0, 1
-OTHER, START = 0, 1
+OTHER = 0
+#: The end of a text and the context of its first token, as hashes.
+END, START = U64(0x7F4A7C159E3779B9), U64(0x1CE4E5B9BF58476D)
+#: Words of this share of the tokens are joined by broadcast.
+HOT = 1e-4
 _TAIL = np.dtype([("h", "<u8"), ("r", "<u4")])
 _PART = np.dtype([("r", "<u4"), ("known", "<u4"), ("base", "<f8"), ("model", "<f8")])
 
@@ -91,64 +90,38 @@ def _above(floor: int):
     return run
 
 
-class Vocabulary:
-    """Frequent words and contexts (a bounded number), by hash."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray, dish_floor: float, context_floor: float):
-        keep = c >= dish_floor
-        self.h = h[keep]  # sorted, as ``h`` is
-        self.n_dishes = 2 + len(self.h)
-        context = c[keep] >= context_floor
-        self.context_of = np.zeros(self.n_dishes, np.int64)
-        self.context_of[2:][context] = 2 + np.arange(context.sum())
-        self.n_contexts = 2 + int(context.sum())
-
-    def dishes(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[k] == h, k + 2, RARE)
-
-    def cells(self, h: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cell (context x dish) of every token, the words first, then each
-        text's end; and the words' dishes."""
-        dish = self.dishes(h)
-        context = np.full(len(h), START, np.int64)
-        if len(h) > 1:
-            context[1:] = np.where(doc[1:] == doc[:-1], self.context_of[dish[:-1]], START)
-        end = np.full(texts, START, np.int64)
-        if len(h):
-            last = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True])))
-            end[doc[last]] = self.context_of[dish[last]]
-        return np.concatenate((context * self.n_dishes + dish, end * self.n_dishes + END)), dish
-
-
-def _cell_counts(vocabulary, slices: int, fan_in: int):
-    """Counts of a whole task's cells (a bounded number), cut into slices."""
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * U64(0x2545F4914F6CDD1D) + w)
 
-    def run(batches):
-        group = TaskContext.get().partitionId() // fan_in
-        total = np.zeros(vocabulary.value.n_contexts * vocabulary.value.n_dishes, np.int64)
-        for b in batches:
-            for i, j, data, offs in text_chunks(b.column(0)):
-                h, doc, _ = words_of(data, offs)
-                cell, n = np.unique(vocabulary.value.cells(h, doc, j - i)[0], return_counts=True)
-                total[cell] += n
-        for k in range(slices):
-            cell = np.flatnonzero(total[k::slices]) * slices + k
-            if len(cell):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([group], pa.int32()), pa.array([k], pa.int32()), pa.array([cell.tobytes()], pa.binary()), pa.array([total[cell].tobytes()], pa.binary())], ["grp", "slice", "cell", "n"]
-                )
 
-    return run
+def pairs_of(h: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) of every token: the words first, then each text's end."""
+    u = np.full(len(h), START, np.uint64)
+    end = np.full(texts, START, np.uint64)
+    if len(h):
+        u[1:] = np.where(doc[1:] == doc[:-1], h[:-1], START)
+        last = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True])))
+        end[doc[last]] = h[last]
+    return np.concatenate((u, end)), np.concatenate((h, np.full(texts, END)))
 
 
-def _joined_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    cell = np.frombuffer(b"".join(pdf["cell"]), np.int64)
-    cell, back = np.unique(cell, return_inverse=True)
-    n = np.bincount(back, np.frombuffer(b"".join(pdf["n"]), np.int64), minlength=len(cell)).astype(np.int64)
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "cell": [cell.tobytes()], "n": [n.tobytes()]})
+def _pair_counts(batches):
+    """(text, held_out) -> distinct pairs of a batch; n: how often they are in
+    training texts (0: only held out)."""
+    for b in batches:
+        held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        got = []
+        for i, j, data, offs in text_chunks(b.column(0)):
+            h, doc, _ = words_of(data, offs)
+            u, w = pairs_of(h, doc, j - i)
+            learnt = ~held[i:j][np.concatenate((doc, np.arange(j - i)))]
+            p, first, back = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
+            got.append((p, u[first], w[first], np.bincount(back, learnt, minlength=len(p)).astype(np.int64)))
+        if got:
+            p, u, w, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            p, first, back = np.unique(p, return_index=True, return_inverse=True)
+            n = np.bincount(back, n, minlength=len(p)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["u", "w", "n"])
 
 
 def seat(customers, rest, base, theta: float, d: float, rng) -> np.ndarray:
@@ -170,7 +143,8 @@ def seat(customers, rest, base, theta: float, d: float, rng) -> np.ndarray:
 
 
 class Restaurants:
-    """Dense counts of contexts x dishes; seatings; predictive probabilities."""
+    """Dense counts of contexts x dishes; seatings; predictive probabilities.
+    The small form of ``pair_scores``."""
 
     def __init__(self, counts: np.ndarray, theta: float = 1.0, d: float = 0.75, seed: int = 7):
         self.c, self.theta, self.d = counts.astype(np.int64), theta, d
@@ -217,68 +191,177 @@ class Restaurants:
         return p / samples
 
 
+def _seated(sweep: int, theta: float, d: float, seed: int = 7):
+    """(u, w, n, t, ts, tables, base): the cells' customers leave and sit down
+    again; ts: the tables of the samples so far."""
+
+    def run(frames):
+        rng = np.random.default_rng((seed, sweep, TaskContext.get().partitionId()))
+        for f in frames:
+            f["t"] = seat(f["n"].to_numpy(), (f["tables"] - f["t"]).to_numpy(), f["base"].to_numpy(), theta, d, rng)
+            yield f[["u", "w", "n", "t", "ts"]]
+
+    return run
+
+
+def _root_seated(sweep: int, theta: float, d: float, tables: int, base: float, seed: int = 11):
+    def run(frames):
+        rng = np.random.default_rng((seed, sweep, TaskContext.get().partitionId()))
+        for f in frames:
+            f["rt"] = seat(f["c"].to_numpy(), tables - f["rt"].to_numpy(), np.full(len(f), base), theta, d, rng)
+            yield f[["w", "c", "rt", "bs"]]
+
+    return run
+
+
+def _attached(cells: DataFrame, stats: DataFrame, key: str, size: str, floor: int) -> DataFrame:
+    """Left join of cells and the statistics of their words. Words of ``floor``
+    or more, a bounded number, are broadcast and their cells dealt out evenly."""
+    names = [c for c in stats.columns if c not in (key, size)]
+    often = stats.where(F.col(size) >= floor).select(key, *(F.col(c).alias(f"_{c}") for c in names))
+    rest = stats.where(F.col(size) < floor).select(F.col(key).alias("_k"), *names)
+    cells = cells.join(F.broadcast(often), key, "left")
+    cells = cells.withColumn("_k", F.when(F.col(f"_{names[0]}").isNull(), F.col(key)).otherwise(F.xxhash64("u", "w")))
+    kept = [c for c in cells.columns if c != "_k" and c not in {f"_{x}" for x in names}]
+    return cells.join(rest, "_k", "left").select(*kept, *(F.coalesce(f"_{c}", c).alias(c) for c in names))
+
+
+def pair_scores(pairs: DataFrame, types: int, floor: int, burn_in: int = 2, samples: int = 3, theta: float = 1.0, d: float = 0.75) -> DataFrame:
+    """Distinct pairs (u, w, n) -> u, w, n, logp: log10 P(w | u), averaged over
+    sampled seatings of all restaurants, one for each context of training
+    texts. As in ``Restaurants``, a sweep seats everybody given the tables of
+    the sweep before, so cells are seated in any partition."""
+    kinds = 1 + types  # and one unknown
+    seen = pairs.where("n > 0")
+    ctx0 = stage_table(seen.groupBy("u").agg(F.sum("n").alias("size"), F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("tables")), "contexts")
+    root0 = seen.groupBy("w").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("c"))
+    root0 = stage_table(root0, "parents")
+    # A cell of one customer has one table in every seating.
+    many = seen.where("n > 1").select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("ts"))
+    ctx = ctx0.select("u", "size", "tables", F.array().cast("array<long>").alias("tabs"))
+    root = root0.select("w", "c", F.lit(1).cast("long").alias("rt"), F.array().cast("array<double>").alias("bs"))
+    unknown: list[float] = []
+
+    def totals(root):
+        r = root.agg(F.sum("c").alias("c"), F.sum("rt").alias("rt")).first()
+        return int(r.c or 0), int(r.rt or 0)
+
+    def base_of(customers, tables):
+        return (F.col("c") - d * F.col("rt") + (theta + d * tables) / kinds) / (theta + customers)
+
+    for k in range(burn_in + samples):
+        customers, tables = totals(root)
+        x = _attached(many, ctx.select("u", "size", "tables"), "u", "size", floor)
+        x = _attached(x, root.select("w", "c", base_of(customers, tables).alias("base")), "w", "c", floor)
+        many = x.select("u", "w", "n", "t", "ts", "tables", "base").mapInPandas(_seated(k, theta, d), "u long, w long, n long, t long, ts array<long>")
+        kept = k >= burn_in
+        if kept:
+            many = many.withColumn("ts", F.array_append("ts", F.col("t")))
+        many = stage_table(many, "seated")
+        more = many.groupBy("u").agg(F.sum("t").alias("more"))
+        ctx = ctx0.select("u", "size", "ones").join(ctx.select("u", "tabs"), "u").join(more, "u", "left")
+        ctx = ctx.select("u", "size", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("tables"), "tabs")
+        if kept:
+            ctx = ctx.withColumn("tabs", F.array_append("tabs", F.col("tables")))
+        ctx = stage_table(ctx, "tables")
+        more = many.groupBy("w").agg(F.sum("t").alias("more"))
+        root = root0.select("w", "ones").join(root.select("w", "rt", "bs"), "w").join(more, "w", "left")
+        root = root.select("w", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), "rt", "bs")
+        root = root.mapInPandas(_root_seated(k, theta, d, tables, 1 / kinds), "w long, c long, rt long, bs array<double>")
+        root = stage_table(root, "parent")
+        if kept:
+            customers, tables = totals(root)
+            root = root.withColumn("bs", F.array_append("bs", base_of(customers, tables)))
+            unknown.append((theta + d * tables) / kinds / (theta + customers))
+    once = pairs.where("n < 2").select("u", "w", "n", F.array_repeat("n", samples).alias("ts"))
+    out = many.select("u", "w", "n", "ts").unionByName(once)
+    out = _attached(out, ctx.select("u", "size", F.col("size").alias("total"), "tabs"), "u", "size", floor)
+    out = _attached(out, root.select("w", "c", "bs"), "w", "c", floor)
+    total = F.coalesce("total", F.lit(0))
+    tabs = lambda k: F.coalesce(F.get("tabs", F.lit(k)), F.lit(0))
+    bs = lambda k: F.coalesce(F.get("bs", F.lit(k)), F.lit(unknown[k]))
+    p = sum((F.col("n") - d * F.get("ts", F.lit(k)) + (theta + d * tabs(k)) * bs(k)) / (theta + total) for k in range(samples)) / samples
+    return out.select("u", "w", "n", F.log10(p).alias("logp"))
+
+
+def _packed(floor: int, buckets: int, first: int):
+    """Pairs that are not broadcast -> (bucket, packed hashes, packed logp)."""
+
+    def run(batches):
+        for b in batches:
+            u, w, n, logp = (b.column(k).to_numpy() for k in range(4))
+            h, keep = pair_hash(u.view(np.uint64), w.view(np.uint64)), n < floor
+            h, logp = h[keep], logp[keep].astype(np.float32)
+            rows = _by_bucket(h, buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + k for k, _ in rows], pa.int32()), pa.array([h[i].tobytes() for _, i in rows], pa.binary()), pa.array([logp[i].tobytes() for _, i in rows], pa.binary())], ["bucket", "h", "c"]
+            )
+
+    return run
+
+
 class Model:
-    """All that scoring needs besides the counts of words that few use."""
+    """All that scoring needs besides the counts of words and the pairs that
+    few use."""
 
-    def __init__(self, vocabulary, log_p, head_h, head_c, tokens, types, ends, rare):
-        self.vocabulary, self.log_p = vocabulary, log_p
+    def __init__(self, head_h, head_c, pair_h, pair_p, tokens, types, ends):
         self.head_h, self.head_c = head_h, head_c
-        self.ends, self.tokens = ends, tokens
+        self.pair_h, self.pair_p = pair_h, pair_p
+        self.ends = ends
         self.base_norm = math.log10(tokens + 0.5 * (types + 1))
-        c, v, ones, twos = rare
-        self.d = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones + twos else 0.5
-        self.rare_norm = math.log10(1.0 + c)
-        self.unknown = math.log10(1.0 + self.d * v) - self.rare_norm if v else 0.0
 
-    def of_count(self, c: np.ndarray) -> np.ndarray:
-        """log10 of a rare word's probability among the rare."""
-        return np.where(c > 0, np.log10(np.maximum(c - self.d, 1e-9)) - self.rare_norm, self.unknown)
+
+def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes are in a sorted table, and whether they are."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
 
-def _scored(model, buckets: int):
+def _tail(h: np.ndarray, r: np.ndarray) -> np.ndarray:
+    out = np.empty(len(h), _TAIL)
+    out["h"], out["r"] = h, r
+    return out
+
+
+def _scored(model, buckets: int, pair_buckets: int):
     def run(batches):
         m = model.value
-        size = m.vocabulary.n_dishes
-        flat = m.log_p.ravel()
         for k, b in enumerate(batches):
             group = (TaskContext.get().partitionId() << 32) + k
-            rows, tails = [], []
+            rows, tails, pairs = [], [], []
             for i, j, data, offs in text_chunks(b.column(1)):
                 h, doc, _ = words_of(data, offs)
                 n = j - i
-                cells, dish = m.vocabulary.cells(h, doc, n)
+                p = pair_hash(*pairs_of(h, doc, n))
                 owner = np.concatenate((doc, np.arange(n)))
-                score = np.bincount(owner, flat[cells], minlength=n)
+                at, often = _found(m.pair_h, p)
+                score = np.bincount(owner[often], m.pair_p[at[often]], minlength=n)
+                pairs.append(_tail(p[~often], owner[~often] + i))
                 base = np.full(n, math.log10(m.ends + 0.5))
                 known = np.full(n, int(m.ends > 0))
-                if len(m.head_h):
-                    at = np.minimum(np.searchsorted(m.head_h, h), len(m.head_h) - 1)
-                    head = m.head_h[at] == h
-                else:
-                    at, head = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                c = m.head_c[at[head]] if len(m.head_h) else np.zeros(0)
+                at, head = _found(m.head_h, h)
+                c = m.head_c[at[head]]
                 base += np.bincount(doc[head], np.log10(c + 0.5), minlength=n)
                 known += np.bincount(doc[head], minlength=n)
-                rare = dish[head] == RARE
-                score += np.bincount(doc[head][rare], m.of_count(c[rare]), minlength=n)
                 count = np.bincount(doc, minlength=n) + 1
                 rows.append((count, known, base - count * m.base_norm, score))
-                tail = np.empty((~head).sum(), _TAIL)
-                tail["h"], tail["r"] = h[~head], doc[~head] + i
-                tails.append(tail)
+                tails.append(_tail(h[~head], doc[~head] + i))
             count, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 4
             n = len(count)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int32()), pa.array(np.full(n, group)), pa.nulls(n, pa.binary()), b.column(0), b.column(2), pa.array(np.arange(n)), pa.array(count.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))],
                 _ROW,
             )
-            tail = np.concatenate(tails) if tails else np.zeros(0, _TAIL)
-            out = _by_bucket(tail["h"], buckets)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.int32()), pa.array(np.full(n, group)), pa.array([tail[i].tobytes() for _, i in out], pa.binary()), pa.nulls(n, b.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
-                _ROW,
-            )
+            for first, parts, many in ((0, tails, buckets), (buckets, pairs, pair_buckets)):
+                tail = np.concatenate(parts) if parts else np.zeros(0, _TAIL)
+                out = _by_bucket(tail["h"], many)
+                n = len(out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first + x for x, _ in out], pa.int32()), pa.array(np.full(n, group)), pa.array([tail[i].tobytes() for _, i in out], pa.binary()), pa.nulls(n, b.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
+                    _ROW,
+                )
 
     return run
 
@@ -286,26 +369,31 @@ def _scored(model, buckets: int):
 _ROW = ["bucket", "grp", "data", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score"]
 
 
-def _looked_up(model):
-    """A bucket's words and the tokens that ask for them -> sums by text."""
+def _looked_up(buckets: int):
+    """A bucket's words (or pairs, from bucket ``buckets`` on) and the tokens
+    that ask for them -> sums by text."""
 
     def run(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
-        h = np.frombuffer(words["h"].iloc[0], np.uint64) if len(words) else np.zeros(0, np.uint64)
-        c = np.frombuffer(words["c"].iloc[0], np.int64) if len(words) else np.zeros(0, np.int64)
+        if not len(asked):
+            return pd.DataFrame({"grp": pd.Series([], dtype="int64"), "data": []})
+        pairs = asked["bucket"].iloc[0] >= buckets
+        h = np.frombuffer(b"".join(words["h"]), np.uint64)
+        c = np.frombuffer(b"".join(words["c"]), np.float32 if pairs else np.int64)
+        o = np.argsort(h)
+        h, c = h[o], c[o]
         groups, data = [], []
         for group, blob in zip(asked["grp"], asked["data"], strict=True):
             x = np.frombuffer(blob, _TAIL)
-            got = np.zeros(len(x), np.int64)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, x["h"]), len(h) - 1)
-                got = np.where(h[at] == x["h"], c[at], 0)
+            at, found = _found(h, x["h"])
+            got = np.where(found, c[at], 0) if len(h) else np.zeros(len(x))
             r, back = np.unique(x["r"], return_inverse=True)
-            out = np.empty(len(r), _PART)
+            out = np.zeros(len(r), _PART)
             out["r"] = r
-            out["known"] = np.bincount(back, got > 0, minlength=len(r))
-            out["base"] = np.bincount(back, np.log10(got + 0.5), minlength=len(r))
-            out["model"] = np.bincount(back, m.of_count(got), minlength=len(r))
+            if pairs:
+                out["model"] = np.bincount(back, got, minlength=len(r))
+            else:
+                out["known"] = np.bincount(back, got > 0, minlength=len(r))
+                out["base"] = np.bincount(back, np.log10(got + 0.5), minlength=len(r))
             groups.append(group)
             data.append(out.tobytes())
         return pd.DataFrame({"grp": pd.Series(groups, dtype="int64"), "data": data})
@@ -329,8 +417,6 @@ def _added(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
 def language_scores(
     docs: DataFrame,
     held_out: tuple[int, int] = (5, 1),
-    dish_share: float = 2e-4,
-    context_share: float = 2e-3,
     table_share: float = 2e-6,
     bucket_tokens: int = 400_000,
     id_col: str = "doc_id",
@@ -347,7 +433,7 @@ def language_scores(
 
     Null texts are empty: the end alone. Null ids hash as the empty text.
     Repeated rows count and are repeated. Without training texts nothing is
-    known and the model knows only "rare". Other columns are ignored. Empty
+    known and the model has one unknown type. Other columns are ignored. Empty
     input: no rows.
     """
     spark = docs.sparkSession
@@ -369,23 +455,20 @@ def language_scores(
     head_h, head_c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
     o = np.argsort(head_h)
     head_h, head_c = head_h[o], head_c[o]
-    vocabulary = Vocabulary(head_h, head_c, max(dish_share * tokens, 2), max(context_share * tokens, 2))
-    known = spark.sparkContext.broadcast(vocabulary)
-    # Summed in two levels, so no task reads more than a slice of fan_in tasks' counts.
-    cells = train.mapInArrow(_cell_counts(known, 16, 64), "grp int, slice int, cell binary, n binary").groupBy("grp", "slice").applyInPandas(_joined_cells, "slice int, cell binary, n binary")
-    cells = cells.groupBy("slice").applyInPandas(_joined_cells, "slice int, cell binary, n binary").collect()
-    counts = np.zeros(vocabulary.n_contexts * vocabulary.n_dishes, np.int64)
-    for r in cells:
-        np.add.at(counts, np.frombuffer(r.cell, np.int64), np.frombuffer(r.n, np.int64))
-    log_p = np.log10(Restaurants(counts.reshape(vocabulary.n_contexts, -1)).averaged()).astype(np.float32)
-    often = head_c >= max(dish_share * tokens, 2)
-    rare = (tokens - ends - int(head_c[often].sum()), types - (ends > 0) - int(often.sum()), int(of.ones or 0), int(of.twos or 0) - int((head_c[often] == 2).sum()))
-    model = spark.sparkContext.broadcast(Model(vocabulary, log_p, head_h, head_c, tokens, types, ends, rare))
+    pairs = stage_table(source.select("text", "held_out").mapInArrow(_pair_counts, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
+    pair_buckets = max(12, math.ceil(pairs.count() / bucket_tokens))
+    logs = stage_table(pair_scores(pairs, types, max(2, math.ceil(HOT * tokens))), "logs")
+    # At most 1 / table_share pairs, too.
+    often = logs.where(F.col("n") >= floor).select("u", "w", "logp").toPandas()
+    pair_h, pair_p = pair_hash(often["u"].to_numpy(np.int64).view(np.uint64), often["w"].to_numpy(np.int64).view(np.uint64)), often["logp"].to_numpy(float)
+    o = np.argsort(pair_h)
+    model = spark.sparkContext.broadcast(Model(head_h, head_c, pair_h[o], pair_p[o], tokens, types, ends))
 
     row = f"bucket int, grp long, data binary, id {kind}, held_out boolean, r long, n_tokens long, n_known long, base_score double, score double"
-    scored = stage_table(source.select("id", "text", "held_out").mapInArrow(_scored(model, buckets), row), "scored")
+    scored = stage_table(source.select("id", "text", "held_out").mapInArrow(_scored(model, buckets, pair_buckets), row), "scored")
     asked = scored.where("bucket is not null").select("bucket", "grp", "data")
-    parts = words.select("bucket", "h", "c").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_looked_up(model), "grp long, data binary")
+    tables = words.select("bucket", "h", "c").unionByName(logs.mapInArrow(_packed(floor, pair_buckets, buckets), "bucket int, h binary, c binary"))
+    parts = tables.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_looked_up(buckets), "grp long, data binary")
     rows = scored.where("bucket is null").select("grp", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score")
     out = rows.groupBy("grp").cogroup(parts.groupBy("grp")).applyInPandas(_added, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

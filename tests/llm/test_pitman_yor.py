@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from packloom.llm.pitman_yor import Restaurants, language_scores, seat
+from packloom.llm.pitman_yor import Restaurants, language_scores, pair_scores, seat
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -67,3 +67,35 @@ def test_empty(spark):
     assert len(run(spark, [])) == 0
     got = run(spark, [(1, "a b")], held_out=(1, 0))  # nothing to learn from
     assert got["n_known"].tolist() == [0] and got["train_tokens"].tolist() == [0] and abs(got["base_score"][0]) < 1e-9
+
+
+def test_rare_contexts_shape_their_words(spark):
+    """Every word is a context, however rare: what follows it in training is
+    likelier after it, though one filler word is most of the tokens."""
+    filler = " ".join(["the"] * 3000)
+    rows = [(k, f"qa{k} zb{k} qa{k} zb{k} {filler}") for k in range(60)]
+    kept = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+    a, b = kept[:2]
+    tests = [(1000 + k, t) for k in range(40) for t in (f"qa{a} zb{a}", f"qa{a} zb{b}")]
+    tests = [r for r in tests if zlib.crc32(str(r[0]).encode()) % 5 == 1]
+    got = run(spark, rows + tests).set_index("doc_id")["score"]
+    follows = [got[d].iloc[0] - got[d].iloc[1] for d in {r[0] for r in tests}]
+    assert min(follows) > 1
+
+
+def test_pair_scores_match_dense_restaurants(spark):
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(2, (8, 20)) * (rng.random((8, 20)) < 0.5)
+    counts[0] = counts[:, 19] = 0  # no tokens without a context; the last type is the unknown one
+    counts[2, 5] = 300
+    dense = np.array([Restaurants(counts, seed=k).averaged() for k in range(40)])
+    cells = [(u, w, int(counts[u, w]) if u < 8 else 0) for u in [*range(1, 8), 99] for w in range(20)]  # 99: never seen
+    for floor in (2, 10**6):
+        pairs = spark.createDataFrame(cells, "u long, w long, n long")
+        got = {(r.u, r.w): 10**r.logp for r in pair_scores(pairs, 19, floor).collect()}
+        assert len(got) == len(cells)
+        for u in [*range(1, 8), 99]:
+            p = np.array([got[u, w] for w in range(20)])
+            assert np.isclose(p.sum(), 1)
+            want = dense[:, 0 if u == 99 else u]
+            assert (np.abs(p - want.mean(0)) < 5 * want.std(0) + 0.01).all()
