@@ -26,6 +26,7 @@ from .common import remainder, stage_table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _SPAN = 32
+_CHUNK = 8_192
 
 
 def _tokens(text: str) -> list[str]:
@@ -59,11 +60,12 @@ class Crf:
         emit = np.concatenate(([theta[0]], theta[0] + theta[1:-3]))
         return emit, np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]])
 
-    def gradient(self, theta, ids, y, real):
+    def gradient(self, theta, ids, y, real, weight=None):
         """Mean negative log-likelihood of windows and its gradient; ``ids``,
-        ``y`` and ``real`` are windows x _SPAN."""
+        ``y`` and ``real`` are windows x _SPAN, ``weight`` counts equal windows."""
         emit, trans = self._parts(theta)
         m, n = ids.shape
+        weight = np.ones(m) if weight is None else weight
         e = np.zeros((n, m, 2))
         e[:, :, 1] = emit[ids].T
         live = real.T
@@ -82,24 +84,24 @@ class Crf:
                 s = trans + (e[t + 1] + z[t + 1])[:, None, :]
                 z[t] = np.where(live[t + 1][:, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), z[t + 1])
             p = np.exp(a[t][:, 1] + z[t][:, 1] - log_z) * live[t]
-            d = (p - y[:, t]) * live[t]
+            d = (p - y[:, t]) * live[t] * weight
             grad[0] += d.sum()
             np.add.at(grad, ids[:, t], np.where(ids[:, t] > 0, d, 0))
             gold += e[t][:, 1] * y[:, t] * live[t]
             if t:
-                w = live[t]
+                w = live[t] * weight
                 for q, (i, j) in enumerate(((0, 1), (1, 0), (1, 1))):
                     p2 = np.exp(a[t - 1][:, i] + trans[i, j] + e[t][:, j] + z[t][:, j] - log_z)
                     hit = (y[:, t - 1] == i) & (y[:, t] == j)
                     grad[len(theta) - 3 + q] += ((p2 - hit) * w).sum()
-                    gold += trans[i, j] * hit * w
-        return (log_z - gold).sum() / m, grad / m
+                    gold += trans[i, j] * hit * live[t]
+        return ((log_z - gold) * weight).sum() / weight.sum(), grad / weight.sum()
 
-    def train(self, ids, y, real, steps: int = 150, rate: float = 0.15, l2: float = 1e-5):
-        """Full-batch Adam; small, since windows are bounded."""
+    def train(self, mean_gradient, steps: int = 150, rate: float = 0.15, l2: float = 1e-5):
+        """Full-batch Adam; ``mean_gradient`` is a function of theta."""
         m1 = m2 = np.zeros_like(self.theta)
         for k in range(1, steps + 1):
-            _, g = self.gradient(self.theta, ids, y, real)
+            g = mean_gradient(self.theta)
             g = g + l2 * self.theta
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             self.theta = self.theta - rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
@@ -199,13 +201,54 @@ def _windows(index: dict[str, int], positive: set[int], per_text: int):
                 for a in sorted(starts)[:per_text] if ids else []:
                     x = ids[a : a + _SPAN]
                     pad = [0] * (_SPAN - len(x))
-                    out.append((x + pad, [int(y == 1 and v in positive) for v in x] + pad, len(x)))
+                    marks = sum(1 << k for k, v in enumerate(x) if y == 1 and v in positive)
+                    out.append((np.array(x + pad, np.int32).tobytes(), marks, len(x)))
             cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.int32())], ["ids", "y", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["ids", "y", "n"])
 
     return run
 
 
+def _arrays(ids, y, n):
+    """Packed windows -> what ``Crf.gradient`` takes."""
+    at = np.arange(_SPAN)
+    return np.frombuffer(b"".join(ids), np.int32).reshape(-1, _SPAN), (np.asarray(y)[:, None] >> at) & 1, at < np.asarray(n)[:, None]
+
+
+def _mean_gradient(crf: Crf, rows: DataFrame, on_driver: int):
+    """The gradient over all windows (ids, y, n, weight): on the driver if
+    they are few, else summed by the executors, one row a task."""
+    size = rows.agg(F.count("*").alias("rows"), F.sum("weight").alias("weight")).first()
+    if size.rows <= on_driver:
+        got = rows.orderBy("ids", "y", "n").toPandas()
+        parts = []
+        for k in range(0, len(got), _CHUNK):
+            f = got.iloc[k : k + _CHUNK]
+            parts.append((*_arrays(f["ids"], f["y"], f["n"]), f["weight"].to_numpy(float)))
+        return lambda theta: sum(crf.gradient(theta, *x)[1] * x[3].sum() for x in parts) / size.weight
+
+    spark = rows.sparkSession
+
+    def total(theta):
+        sent = spark.sparkContext.broadcast((crf, theta))
+
+        def summed(batches):
+            model, now = sent.value
+            out = np.zeros_like(now)
+            for b in batches:
+                for k in range(0, b.num_rows, _CHUNK):
+                    c = b.slice(k, _CHUNK)
+                    weight = c.column(3).to_numpy().astype(float)
+                    out += model.gradient(now, *_arrays(c.column(0).to_pylist(), c.column(1).to_numpy(), c.column(2).to_numpy()), weight)[1] * weight.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["g"])
+
+        got = rows.mapInArrow(summed, "g binary").collect()
+        sent.destroy()
+        return sum(np.frombuffer(r.g) for r in got) / size.weight
+
+    return total
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -218,7 +261,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 20_000, per_text: int = 6, most_windows: int = 20_000) -> Crf:
+def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 20_000, per_text: int = 6, on_driver: int = 50_000) -> Crf:
     """From rows (text string, label int), which must be bounded in number."""
     totals = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
@@ -232,11 +275,10 @@ def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 2
     words = counts.orderBy(F.desc("ratio"), "word").limit(vocabulary).toPandas()
     crf = Crf(words["word"].tolist())
     positive = {crf.index[w] for w, r in zip(words["word"], words["ratio"], strict=True) if r >= odds}
-    rows = train.mapInArrow(_windows(crf.index, positive, per_text), "ids array<int>, y array<int>, n int")
-    rows = rows.orderBy(F.xxhash64("ids", "y")).limit(most_windows).toPandas()
-    if len(rows):
-        ids, y = np.stack(rows["ids"].to_numpy()), np.stack(rows["y"].to_numpy())
-        crf.train(ids, y, np.arange(_SPAN) < rows["n"].to_numpy()[:, None])
+    rows = train.mapInArrow(_windows(crf.index, positive, per_text), "ids binary, y long, n int")
+    rows = stage_table(rows.groupBy("ids", "y", "n").agg(F.count("*").alias("weight")), "windows")
+    if not rows.isEmpty():
+        crf.train(_mean_gradient(crf, rows, on_driver))
     crf.ready()
 
     def measured(frames):

@@ -4,7 +4,7 @@ from itertools import product
 import numpy as np
 
 from packloom.llm.quality import _isotonic, quality_scores, statistics
-from packloom.llm.toxicity import Crf, toxicity_scores
+from packloom.llm.toxicity import _SPAN, Crf, _mean_gradient, toxicity_scores
 
 
 def auc(score, y):
@@ -81,3 +81,18 @@ def test_gradient_matches_differences():
     for k in range(7):
         e = np.eye(7)[k] * 1e-5
         assert np.isclose(g[k], (crf.gradient(theta + e, ids, y * real, real)[0] - crf.gradient(theta - e, ids, y * real, real)[0]) / 2e-5, atol=1e-5)
+
+
+def test_equal_windows_weigh_what_they_count(spark):
+    """All windows count, collapsed or not, on the driver or on executors."""
+    rng = np.random.default_rng(2)
+    crf = Crf(["a", "b", "c"])
+    ids, y = rng.integers(0, 4, (6, _SPAN)), rng.integers(0, 2, (6, _SPAN))
+    n, weight = rng.integers(1, _SPAN + 1, 6), np.array([1, 50, 3, 1, 7, 2])
+    theta, real = rng.normal(size=7), np.arange(_SPAN) < n[:, None]
+    k = np.repeat(np.arange(6), weight)
+    want = crf.gradient(theta, ids[k], (y * real)[k], real[k])[1]
+    rows = [(bytearray(i.astype(np.int32).tobytes()), int(((v * r) << np.arange(_SPAN)).sum()), int(m), int(w)) for i, v, r, m, w in zip(ids, y, real, n, weight)]
+    df = spark.createDataFrame(rows, "ids binary, y long, n int, weight long")
+    for on_driver in (100, 0):
+        assert np.allclose(_mean_gradient(crf, df, on_driver)(theta), want)
