@@ -188,9 +188,9 @@ class Crf:
         return 1 / (1 + math.exp(-min(max(a + b * top + c * math.log1p(total), -30), 30)))
 
 
-def _windows(index: dict[str, int], positive: set[int], per_text: int):
-    """(text, label) -> training windows: around weighted tokens, and the
-    first one."""
+def _windows(index: dict[str, int], positive: set[int]):
+    """(text, label) -> training windows of the whole text: around weighted
+    tokens, and the first one."""
 
     def run(batches):
         for b in batches:
@@ -198,7 +198,7 @@ def _windows(index: dict[str, int], positive: set[int], per_text: int):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = [index.get(w, 0) for w in _tokens(text or "")]
                 starts = {0} | {max(0, k - _SPAN // 2) for k, v in enumerate(ids) if v}
-                for a in sorted(starts)[:per_text] if ids else []:
+                for a in sorted(starts) if ids else []:
                     x = ids[a : a + _SPAN]
                     pad = [0] * (_SPAN - len(x))
                     marks = sum(1 << k for k, v in enumerate(x) if y == 1 and v in positive)
@@ -261,7 +261,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 20_000, per_text: int = 6, on_driver: int = 50_000) -> Crf:
+def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 20_000, on_driver: int = 50_000) -> Crf:
     """From rows (text string, label int), which must be bounded in number."""
     totals = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
@@ -275,7 +275,7 @@ def fit(train: DataFrame, least: int = 3, odds: float = 8.0, vocabulary: int = 2
     words = counts.orderBy(F.desc("ratio"), "word").limit(vocabulary).toPandas()
     crf = Crf(words["word"].tolist())
     positive = {crf.index[w] for w, r in zip(words["word"], words["ratio"], strict=True) if r >= odds}
-    rows = train.mapInArrow(_windows(crf.index, positive, per_text), "ids binary, y long, n int")
+    rows = train.mapInArrow(_windows(crf.index, positive), "ids binary, y long, n int")
     rows = stage_table(rows.groupBy("ids", "y", "n").agg(F.count("*").alias("weight")), "windows")
     if not rows.isEmpty():
         crf.train(_mean_gradient(crf, rows, on_driver))
@@ -304,7 +304,7 @@ def toxicity_scores(
 ) -> DataFrame:
     """Score every document; labels are learnt from rows whose crc32(id as
     text) mod ``held_out[0]`` is not ``held_out[1]``, from at most
-    ``sample_rows`` of them (those whose ids hash lowest).
+    ``sample_rows`` of them (those whose ids hash lowest), which are read whole.
 
     Returns per row of ``docs``: id_col, held_out boolean, score double (0 to
     1), predicted int (1 if score >= threshold), spans array<struct<start,

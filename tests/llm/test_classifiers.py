@@ -96,3 +96,14 @@ def test_equal_windows_weigh_what_they_count(spark):
     df = spark.createDataFrame(rows, "ids binary, y long, n int, weight long")
     for on_driver in (100, 0):
         assert np.allclose(_mean_gradient(crf, df, on_driver)(theta), want)
+
+
+def test_words_late_in_long_texts_are_learnt(spark):
+    """The only toxic word comes after many windows of ordinary ones."""
+    mild = " ".join(f"mild{k} " + "filler " * 40 for k in range(8))
+    docs = [(k, mild + ("zorg " if k % 4 == 0 else "end ")) if k % 4 in (0, 1) else (k, "filler " * 60) for k in range(120)]
+    docs += [(k, "filler " * 20 + "zorg " + "filler " * 20) for k in range(1000, 1030)]
+    labels = [(k, int(k % 4 == 0)) for k, _ in docs[:120]]
+    got = toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
+    late = got[got["doc_id"] >= 1000]
+    assert late["spans"].map(len).eq(1).all() and late["score"].min() > got[(got["doc_id"] % 4 == 2) & (got["doc_id"] < 120)]["score"].max()
