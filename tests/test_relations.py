@@ -1,12 +1,16 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from packloom import sinks
+from packloom.fixtures import relation
 from packloom.functions import globs, scalars, tokens
 from packloom.operators import findings as fi
 from packloom.operators import relations as rel
 from packloom.plans.config import ConfigError, PackOptions, ProjectConfig, UnknownProfileError, parse_choice
 from packloom.plans.pack import PackBuilder
+from packloom.queries import QUERIES
 from packloom.sources import diagnostics, files, git
 
 
@@ -125,3 +129,11 @@ def test_pack_end_to_end(spark, tmp_path):
         assert b.render(result, form).count() == 2
     sinks.append_log(result.redactions, str(tmp_path / "log"), F.lit(1))
     assert spark.read.json(str(tmp_path / "log")).count() == 1
+
+
+def test_src_entry_reads_all_documents_and_members(spark, sf):
+    got = QUERIES["src_entry"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    names = sorted(r.name for r in relation(spark, sf, "members").collect())
+    want = sorted((names[zlib.crc32(str(r.doc_id).encode()) % len(names)], "lib", r.doc_id, r.text) for r in docs)
+    assert sorted(map(tuple, got)) == want and {r.name for r in got} == set(names)
