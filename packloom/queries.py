@@ -703,8 +703,8 @@ _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS s
 
 @query("join_stem", f"WITH s AS (SELECT stem FROM ({_WORDS}) WHERE strlen(stem) >= 6) SELECT d.doc_id, array_to_string(list_sort(list(DISTINCT stem)), ',') AS matched FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS stem FROM documents) d JOIN s USING (stem) GROUP BY d.doc_id")
 def _(spark, d):
-    words = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 10 = 0").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("stem")).distinct().where(F.octet_length("stem") >= 6)
-    rows = relations.matched_stems(spark.read.parquet(f"{d}/documents.parquet"), words, "doc_id", "text")
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("word"))
+    rows = relations.matched_stems(spark.read.parquet(f"{d}/documents.parquet"), relations.stems(words, "word"), "doc_id", "text")
     return rows.select("doc_id", F.array_join("matched_stems", ",").alias("matched"))
 
 

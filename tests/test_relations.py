@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import pytest
@@ -137,3 +138,12 @@ def test_src_entry_reads_all_documents_and_members(spark, sf):
     names = sorted(r.name for r in relation(spark, sf, "members").collect())
     want = sorted((names[zlib.crc32(str(r.doc_id).encode()) % len(names)], "lib", r.doc_id, r.text) for r in docs)
     assert sorted(map(tuple, got)) == want and {r.name for r in got} == set(names)
+
+
+def test_join_stem_takes_the_words_of_all_items(spark, sf):
+    word = re.compile("[A-Za-z0-9_]+")
+    items = {w for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() for w in word.findall(r.text)}
+    stems = {w for w in items if len(w) >= 3 and not w[0].isdigit() and w not in ("mod", "lib", "main", "Cargo", "README")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: ",".join(sorted(stems & set(word.findall(r.text or "")))) for r in docs}
+    assert {r.doc_id: r.matched for r in QUERIES["join_stem"](spark, sf).collect()} == {k: v for k, v in want.items() if v}
