@@ -113,3 +113,14 @@ def shannon(text: Column) -> Column:
             lambda acc, p: acc - p * F.log2(p),
         ),
     )[0]
+
+
+def shannon_text(text: Column) -> Column:
+    """``shannon`` of whole texts: one fold over the runs of the sorted bytes."""
+    pairs = F.array_sort(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)))
+    weigh = lambda n: n * F.log2(F.greatest(n, F.lit(1.0)))
+    start = F.struct(F.lit("").alias("b"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+    step = lambda s, b: F.when(s["b"] == b, F.struct(b.alias("b"), (s["n"] + 1).alias("n"), s["total"].alias("total"))).otherwise(F.struct(b.alias("b"), F.lit(1.0).alias("n"), (s["total"] + weigh(s["n"])).alias("total")))
+    size = F.octet_length(text).cast("double")
+    bits = F.log2(size) - F.aggregate(pairs, start, step, lambda s: s["total"] + weigh(s["n"])) / size
+    return F.when(size == 0, F.lit(0.0)).when(size > 0, F.greatest(bits, F.lit(0.0)))

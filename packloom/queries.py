@@ -241,7 +241,7 @@ def _(spark, d):
 
 @query("scrub_shannon", "WITH a AS (SELECT doc_id, regexp_extract_all(hex(encode(substr(text, 1, 60))), '..') AS a FROM documents) SELECT doc_id, round(coalesce(list_sum(list_transform(list_distinct(a), lambda b: -(len(list_filter(a, lambda x: x = b)) / len(a)) * log2(len(list_filter(a, lambda x: x = b)) / len(a)))), 0), 6) AS bits FROM a")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.round(scalars.shannon(F.substring("text", 1, 60)), 6).alias("bits"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.round(scalars.shannon_text(F.col("text")), 6).alias("bits"))
 
 
 _PATHS = scrub.ScrubConfig(redact_whole=("**/.env*", "docs/**"), exclude=("docs/src1*/**",))

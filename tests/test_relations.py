@@ -1,5 +1,7 @@
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,14 @@ def test_join_stem_takes_the_words_of_all_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: ",".join(sorted(stems & set(word.findall(r.text or "")))) for r in docs}
     assert {r.doc_id: r.matched for r in QUERIES["join_stem"](spark, sf).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_scrub_shannon_measures_whole_texts(spark, sf):
+    def bits(text):
+        c = Counter(text.encode())
+        return -sum(n / c.total() * math.log2(n / c.total()) for n in c.values())
+
+    want = {r.doc_id: bits(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.bits for r in QUERIES["scrub_shannon"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert [one(spark, t, scalars.shannon_text) for t in ("", "aaaa", "é", None)] == [0.0, 0.0, 1.0, None]
