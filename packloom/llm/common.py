@@ -8,6 +8,7 @@ buffers, so that a text never becomes a list of Python strings.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -38,25 +39,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    spark = table.sparkSession
+    _delete(spark, table._staged)
+    _written.remove((spark, table._staged))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer referenced;
+    it does so when the driver's collector finds them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended already; the folder is the cluster's to clear
-            return
+            continue
 
 
 def remainder(column: str, modulus: int):

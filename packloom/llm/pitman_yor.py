@@ -4,15 +4,22 @@ Restaurants. Every word that training texts hold, and the start of a text, is
 a context and has a restaurant over the words that follow it (a word or the
 end); all restaurants have one parent, a restaurant over all types and one
 unknown - the sample space is that of the baseline. Seatings are sampled by
-Gibbs: a word's customers in a restaurant leave and take seats again given
-everybody else, new tables become customers of the parent, and the predictive
-probabilities of several samples are averaged. Contexts and words are all
-there are: counts of pairs are sparse, and what a cell needs of its context
-and its word comes by joins. Unknown contexts give the parent's probability.
-
-Counts are exact and never broadcast beyond a proven bound: words and pairs
-above a share of the tokens go out as tables; all others meet their counts and
-probabilities in buckets. What is shuffled are packed arrays, pre-aggregated by batch.
+Gibbs (``seating``): given the parent, every restaurant draws the tables of one
+dish after another; tables are the parent's customers, which draws its tables
+in turn; then strengths and discounts are drawn. The predictive probabilities
+of several samples are averaged. Contexts and words are all there are.
+
+Where things are. Pairs of words are dealt to buckets by their context, pairs
+of contexts with many tokens by the pair, so no restaurant is one task's
+unless it is small; the tables of those contexts are added up between rounds
+and broadcast. The parent is dealt by word. Probabilities of frequent words are
+broadcast, those of others are asked for by bucket. Words and contexts that are
+broadcast have a share of the tokens, so they are bounded in number.
+
+Disk. Texts are cheap to read and pairs are not cheap to keep: pairs are
+counted in ``slices`` of the buckets, one after the other, and again when texts
+are scored, where every bucket seats its restaurants anew under each sampled
+parent. What stays are cells of two customers or more.
 """
 
 from __future__ import annotations
@@ -26,23 +33,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, remainder, stage_table, text_chunks, words_of
+from . import seating
+from .common import U64, drop_table, free_shuffles, mix, remainder, stage_table, text_chunks, words_of
 
-OTHER = 0
 #: The end of a text and the context of its first token, as hashes.
 END, START = U64(0x7F4A7C159E3779B9), U64(0x1CE4E5B9BF58476D)
-#: Words of this share of the tokens are joined by broadcast.
+#: Contexts with this share of the tokens (or of ``bucket_tokens`` / 4 tokens,
+#: if that is less) are dealt out by pairs; the probabilities of pairs with as
+#: many tokens are broadcast.
 HOT = 1e-4
+_GROUP_ROWS, _GROUP_BYTES = 4096, 8 << 20
+_LANES = 64
 _TAIL = np.dtype([("h", "<u8"), ("r", "<u4")])
 _PART = np.dtype([("r", "<u4"), ("known", "<u4"), ("base", "<f8"), ("model", "<f8")])
+_SUM = np.dtype([("r", "<u4"), ("model", "<f8")])
+# Rows of several kinds in one table: what they are about, packed arrays.
+CELLS, DISHES, ASKS, SPREAD, SUMS, PAIRS = range(6)
+_PACKED = "kind int, key int, other int, a binary, b binary, c binary, d binary, e binary"
 
 
 def _by_bucket(h: np.ndarray, buckets: int):
     """(bucket, positions) for each bucket that has hashes."""
+    if not len(h):
+        return []
     which = (h % U64(buckets)).astype(np.int64)
     o = np.argsort(which, kind="stable")
-    cut = np.searchsorted(which[o], np.arange(buckets + 1))
-    return [(k, o[cut[k] : cut[k + 1]]) for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+    some, first = np.unique(which[o], return_index=True)
+    return list(zip(some.tolist(), np.split(o, first[1:]), strict=True))
+
+
+def _numbered(batches):
+    """(id, text, held_out) -> the same with group and row number in it; a
+    group is of bounded size."""
+    n = TaskContext.get().partitionId() << 32
+    for b in batches:
+        size = b.column(1).cast(pa.large_string()).fill_null("")
+        size = np.cumsum(np.diff(np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1])) if len(size) else np.zeros(0, np.int64)
+        i = 0
+        while i < b.num_rows:
+            j = int(np.searchsorted(size, (size[i - 1] if i else 0) + _GROUP_BYTES, side="right"))
+            j = min(max(j, i + 1), i + _GROUP_ROWS)
+            part = b.slice(i, j - i)
+            n += 1
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(j - i, n)), pa.array(np.arange(j - i, dtype=np.int32))], ["id", "text", "held_out", "grp", "r"])
+            i = j
+
+
+def _groups(b: pa.RecordBatch):
+    """The runs of one group in a batch of (id, text, held_out, grp, r)."""
+    g = b.column(3).to_numpy()
+    cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)] if len(g) else []
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(g[i]), b.slice(i, j - i)
 
 
 def _batch_counts(batches):
@@ -77,15 +119,15 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     h, c = h[o], c[o].astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     h, c = h[first], np.add.reduceat(c, first)
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "h": [h.tobytes()], "c": [c.tobytes()], "tokens": [c.sum()], "types": [len(c)], "ones": [(c == 1).sum()], "twos": [(c == 2).sum()]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "h": [h.tobytes()], "c": [c.tobytes()], "tokens": [c.sum()], "types": [len(c)]})
 
 
 def _above(floor: int):
     def run(frames):
         for f in frames:
             for hs, cs in zip(f["h"], f["c"], strict=True):
-                h, c = np.frombuffer(hs, np.int64), np.frombuffer(cs, np.int64)
-                yield pd.DataFrame({"h": h[c >= floor], "c": c[c >= floor]})
+                h, c = np.frombuffer(hs, np.uint64), np.frombuffer(cs, np.int64)
+                yield pd.DataFrame({"h": [h[c >= floor].tobytes()], "c": [c[c >= floor].tobytes()]})
 
     return run
 
@@ -105,295 +147,501 @@ def pairs_of(h: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np
     return np.concatenate((u, end)), np.concatenate((h, np.full(texts, END)))
 
 
-def _pair_counts(batches):
-    """(text, held_out) -> distinct pairs of a batch; n: how often they are in
-    training texts (0: only held out)."""
-    for b in batches:
-        held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        got = []
-        for i, j, data, offs in text_chunks(b.column(0)):
-            h, doc, _ = words_of(data, offs)
-            u, w = pairs_of(h, doc, j - i)
-            learnt = ~held[i:j][np.concatenate((doc, np.arange(j - i)))]
-            p, first, back = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-            got.append((p, u[first], w[first], np.bincount(back, learnt, minlength=len(p)).astype(np.int64)))
-        if got:
-            p, u, w, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            p, first, back = np.unique(p, return_index=True, return_inverse=True)
-            n = np.bincount(back, n, minlength=len(p)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["u", "w", "n"])
-
-
-def seat(customers, rest, base, theta: float, d: float, rng) -> np.ndarray:
-    """Tables that each dish's customers take, sitting down one after the other
-    (in steps of a twentieth of those seated, once they are many), given
-    ``rest`` tables of other dishes in the restaurant and the parent's
-    probability ``base`` of the dish."""
-    t = (customers > 0).astype(np.int64)
-    n = t.copy()
-    active = np.flatnonzero(customers > 1)
-    while len(active):
-        step = np.minimum(np.maximum(n[active] // 20, 1), customers[active] - n[active])
-        new = (theta + d * (rest[active] + t[active])) * base[active]
-        p = new / (new + n[active] - d * t[active])
-        t[active] += rng.binomial(step, p)
-        n[active] += step
-        active = active[n[active] < customers[active]]
-    return t
-
-
-class Restaurants:
-    """Dense counts of contexts x dishes; seatings; predictive probabilities.
-    The small form of ``pair_scores``."""
-
-    def __init__(self, counts: np.ndarray, theta: float = 1.0, d: float = 0.75, seed: int = 7):
-        self.c, self.theta, self.d = counts.astype(np.int64), theta, d
-        self.rng = np.random.default_rng(seed)
-        self.u, self.w = np.nonzero(self.c[1:])
-        self.u += 1
-        self.n = self.c[self.u, self.w]
-        self.t = np.ones(len(self.n), np.int64)
-        self.root_t = np.ones(counts.shape[1], np.int64)
-
-    def root_customers(self) -> np.ndarray:
-        return self.c[OTHER] + np.bincount(self.w, self.t, minlength=self.c.shape[1]).astype(np.int64)
-
-    def root(self) -> np.ndarray:
-        k, c = self.c.shape[1], self.root_customers()
-        t = np.where(c > 0, self.root_t, 0)
-        return (c - self.d * t + (self.theta + self.d * t.sum()) / k) / (self.theta + c.sum())
-
-    def sweep(self):
-        """Every dish of every restaurant leaves and sits down again."""
-        base = self.root()
-        tables = np.bincount(self.u, self.t, minlength=len(self.c)).astype(np.int64)
-        self.t = seat(self.n, tables[self.u] - self.t, base[self.w], self.theta, self.d, self.rng)
-        c = self.root_customers()
-        rest = np.where(c > 0, self.root_t, 0)
-        self.root_t = seat(c, rest.sum() - rest, np.full(len(c), 1 / len(c)), self.theta, self.d, self.rng)
-
-    def predictive(self) -> np.ndarray:
-        base = self.root()
-        total = self.c.sum(1)
-        tables = np.bincount(self.u, self.t, minlength=len(self.c))
-        p = ((self.theta + self.d * tables) / (self.theta + total))[:, None] * base
-        p[self.u, self.w] += (self.n - self.d * self.t) / (self.theta + total[self.u])
-        p[OTHER] = base
-        return p
-
-    def averaged(self, burn_in: int = 2, samples: int = 3) -> np.ndarray:
-        for _ in range(burn_in):
-            self.sweep()
-        p = 0
-        for _ in range(samples):
-            self.sweep()
-            p = p + self.predictive()
-        return p / samples
-
-
-def _seated(sweep: int, theta: float, d: float, seed: int = 7):
-    """(u, w, n, t, ts, tables, base): the cells' customers leave and sit down
-    again; ts: the tables of the samples so far."""
+def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes are in a sorted table, and whether they are."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
-    def run(frames):
-        rng = np.random.default_rng((seed, sweep, TaskContext.get().partitionId()))
-        for f in frames:
-            f["t"] = seat(f["n"].to_numpy(), (f["tables"] - f["t"]).to_numpy(), f["base"].to_numpy(), theta, d, rng)
-            yield f[["u", "w", "n", "t", "ts"]]
 
-    return run
+class Shape:
+    """How words, contexts and pairs are dealt out, and what is broadcast."""
+
+    def __init__(self, head_h, head_c, tokens, types, ends, buckets, word_buckets, slices, hot_floor):
+        self.head_h, self.head_c = head_h, head_c
+        self.tokens, self.types, self.ends = tokens, types, ends
+        self.buckets, self.word_buckets, self.slices = buckets, word_buckets, slices
+        self.kinds = 1 + types  # and one unknown
+        self.hot_floor = hot_floor
+        hot = (head_c >= hot_floor) & (head_h != END)
+        h, n = np.append(head_h[hot], START), np.append(head_c[hot], ends)
+        o = np.argsort(h)
+        self.hot_h, self.hot_n = h[o], n[o]
+        self.base_norm = math.log10(tokens + 0.5 * (types + 1))
 
+    def place(self, u, w):
+        """The bucket of each pair."""
+        return (np.where(_found(self.hot_h, u)[1], pair_hash(u, w), mix(u)) % U64(self.buckets)).astype(np.int64)
 
-def _root_seated(sweep: int, theta: float, d: float, tables: int, base: float, seed: int = 11):
-    def run(frames):
-        rng = np.random.default_rng((seed, sweep, TaskContext.get().partitionId()))
-        for f in frames:
-            f["rt"] = seat(f["c"].to_numpy(), tables - f["rt"].to_numpy(), np.full(len(f), base), theta, d, rng)
-            yield f[["w", "c", "rt", "bs"]]
 
-    return run
+def _tokens_of(part: pa.RecordBatch, shape: Shape, k: int, only_learnt: bool):
+    """(context, word, bucket, row, learnt) of a group's tokens in slice k."""
+    held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    rows = part.column(4).to_numpy()
+    got = []
+    for i, j, data, offs in text_chunks(part.column(1)):
+        h, doc, _ = words_of(data, offs)
+        u, w = pairs_of(h, doc, j - i)
+        owner = np.concatenate((doc, np.arange(j - i))) + i
+        keep = np.ones(len(u), bool)
+        if only_learnt:
+            keep = ~held[owner]
+            u, w, owner = u[keep], w[keep], owner[keep]
+        place = shape.place(u, w)
+        keep = place % shape.slices == k
+        got.append((u[keep], w[keep], place[keep], rows[owner[keep]], ~held[owner[keep]]))
+    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else None
 
 
-def _attached(cells: DataFrame, stats: DataFrame, key: str, size: str, floor: int) -> DataFrame:
-    """Left join of cells and the statistics of their words. Words of ``floor``
-    or more, a bounded number, are broadcast and their cells dealt out evenly."""
-    names = [c for c in stats.columns if c not in (key, size)]
-    often = stats.where(F.col(size) >= floor).select(key, *(F.col(c).alias(f"_{c}") for c in names))
-    rest = stats.where(F.col(size) < floor).select(F.col(key).alias("_k"), *names)
-    cells = cells.join(F.broadcast(often), key, "left")
-    cells = cells.withColumn("_k", F.when(F.col(f"_{names[0]}").isNull(), F.col(key)).otherwise(F.xxhash64("u", "w")))
-    kept = [c for c in cells.columns if c != "_k" and c not in {f"_{x}" for x in names}]
-    return cells.join(rest, "_k", "left").select(*kept, *(F.coalesce(f"_{c}", c).alias(c) for c in names))
-
-
-def pair_scores(pairs: DataFrame, types: int, floor: int, burn_in: int = 2, samples: int = 3, theta: float = 1.0, d: float = 0.75) -> DataFrame:
-    """Distinct pairs (u, w, n) -> u, w, n, logp: log10 P(w | u), averaged over
-    sampled seatings of all restaurants, one for each context of training
-    texts. As in ``Restaurants``, a sweep seats everybody given the tables of
-    the sweep before, so cells are seated in any partition."""
-    kinds = 1 + types  # and one unknown
-    seen = pairs.where("n > 0")
-    ctx0 = stage_table(seen.groupBy("u").agg(F.sum("n").alias("size"), F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("tables")), "contexts")
-    root0 = seen.groupBy("w").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count("*").alias("c"))
-    root0 = stage_table(root0, "parents")
-    # A cell of one customer has one table in every seating.
-    many = seen.where("n > 1").select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("ts"))
-    ctx = ctx0.select("u", "size", "tables", F.array().cast("array<long>").alias("tabs"))
-    root = root0.select("w", "c", F.lit(1).cast("long").alias("rt"), F.array().cast("array<double>").alias("bs"))
-    unknown: list[float] = []
-
-    def totals(root):
-        r = root.agg(F.sum("c").alias("c"), F.sum("rt").alias("rt")).first()
-        return int(r.c or 0), int(r.rt or 0)
-
-    def base_of(customers, tables):
-        return (F.col("c") - d * F.col("rt") + (theta + d * tables) / kinds) / (theta + customers)
-
-    for k in range(burn_in + samples):
-        customers, tables = totals(root)
-        x = _attached(many, ctx.select("u", "size", "tables"), "u", "size", floor)
-        x = _attached(x, root.select("w", "c", base_of(customers, tables).alias("base")), "w", "c", floor)
-        many = x.select("u", "w", "n", "t", "ts", "tables", "base").mapInPandas(_seated(k, theta, d), "u long, w long, n long, t long, ts array<long>")
-        kept = k >= burn_in
-        if kept:
-            many = many.withColumn("ts", F.array_append("ts", F.col("t")))
-        many = stage_table(many, "seated")
-        more = many.groupBy("u").agg(F.sum("t").alias("more"))
-        ctx = ctx0.select("u", "size", "ones").join(ctx.select("u", "tabs"), "u").join(more, "u", "left")
-        ctx = ctx.select("u", "size", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("tables"), "tabs")
-        if kept:
-            ctx = ctx.withColumn("tabs", F.array_append("tabs", F.col("tables")))
-        ctx = stage_table(ctx, "tables")
-        more = many.groupBy("w").agg(F.sum("t").alias("more"))
-        root = root0.select("w", "ones").join(root.select("w", "rt", "bs"), "w").join(more, "w", "left")
-        root = root.select("w", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), "rt", "bs")
-        root = root.mapInPandas(_root_seated(k, theta, d, tables, 1 / kinds), "w long, c long, rt long, bs array<double>")
-        root = stage_table(root, "parent")
-        if kept:
-            customers, tables = totals(root)
-            root = root.withColumn("bs", F.array_append("bs", base_of(customers, tables)))
-            unknown.append((theta + d * tables) / kinds / (theta + customers))
-    once = pairs.where("n < 2").select("u", "w", "n", F.array_repeat("n", samples).alias("ts"))
-    out = many.select("u", "w", "n", "ts").unionByName(once)
-    out = _attached(out, ctx.select("u", "size", F.col("size").alias("total"), "tabs"), "u", "size", floor)
-    out = _attached(out, root.select("w", "c", "bs"), "w", "c", floor)
-    total = F.coalesce("total", F.lit(0))
-    tabs = lambda k: F.coalesce(F.get("tabs", F.lit(k)), F.lit(0))
-    bs = lambda k: F.coalesce(F.get("bs", F.lit(k)), F.lit(unknown[k]))
-    p = sum((F.col("n") - d * F.get("ts", F.lit(k)) + (theta + d * tabs(k)) * bs(k)) / (theta + total) for k in range(samples)) / samples
-    return out.select("u", "w", "n", F.log10(p).alias("logp"))
-
-
-def _packed(floor: int, buckets: int, first: int):
-    """Pairs that are not broadcast -> (bucket, packed hashes, packed logp)."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (kind, key, other, arrays...) as ``_PACKED`` has them."""
+    data = [[None if len(r) <= 3 + c else r[3 + c].tobytes() for r in rows] for c in range(5)]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32()) for c in range(3)] + [pa.array(x, pa.binary()) for x in data], ["kind", "key", "other", "a", "b", "c", "d", "e"])
+
+
+def _packed_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = _packed(rows).to_pandas()
+    return frame.astype({"kind": "int32", "key": "int32", "other": "int32"})
+
+
+def _pair_counts(sent, k: int):
+    """Training texts -> distinct pairs of each group and bucket (a: contexts,
+    b: words, c: how often)."""
 
     def run(batches):
+        shape = sent.value
         for b in batches:
-            u, w, n, logp = (b.column(k).to_numpy() for k in range(4))
-            h, keep = pair_hash(u.view(np.uint64), w.view(np.uint64)), n < floor
-            h, logp = h[keep], logp[keep].astype(np.float32)
-            rows = _by_bucket(h, buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + k for k, _ in rows], pa.int32()), pa.array([h[i].tobytes() for _, i in rows], pa.binary()), pa.array([logp[i].tobytes() for _, i in rows], pa.binary())], ["bucket", "h", "c"]
-            )
+            for _, part in _groups(b):
+                if (got := _tokens_of(part, shape, k, True)) is None or not len(got[0]):
+                    continue
+                u, w, place = got[:3]
+                o = np.lexsort((w, u, place))
+                u, w, place = u[o], w[o], place[o]
+                first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+                n = np.diff(np.append(first, len(u))).astype(np.uint32)
+                u, w, place = u[first], w[first], place[first]
+                cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))).tolist()
+                yield _packed([(CELLS, int(place[i]), 0, u[i:j], w[i:j], n[i:j]) for i, j in zip(cuts, [*cuts[1:], len(u)], strict=True)])
 
     return run
 
 
-class Model:
-    """All that scoring needs besides the counts of words and the pairs that
-    few use."""
+def _summed_pairs(u, w, n):
+    """Distinct pairs, ordered by context, and their sums."""
+    o = np.lexsort((w, u))
+    u, w = u[o], w[o]
+    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+    return u[first], w[first], np.add.reduceat(n[o].astype(np.int64), first), o, first
+
+
+def _contexts(shape: Shape, u, n):
+    """Of a bucket's pairs (ordered by context): the number of each one's
+    restaurant - those dealt out by pairs behind the others - and customers,
+    singles and hashes of the others."""
+    at, hot = _found(shape.hot_h, u)
+    new = np.concatenate(([True], u[1:] != u[:-1])) & ~hot if len(u) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    m = int(new.sum())
+    cold = ~hot
+    customers = np.bincount(number[cold], n[cold], minlength=m).astype(np.int64)
+    ones = np.bincount(number[cold], n[cold] == 1, minlength=m).astype(np.int64)
+    return np.where(hot, m + at, number), customers, ones, u[new]
+
+
+def _cells(sent):
+    """A bucket's pairs -> its cells of two customers or more with their
+    restaurants, contexts by word, and the words whose probability it needs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = sent.value
+        key = int(pdf["key"].iloc[0])
+        u, w, n, _, _ = _summed_pairs(*(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32))))
+        r, customers, ones, _ = _contexts(shape, u, n)
+        many = n > 1
+        rows = [(CELLS, key, 0, customers, ones, r[many], w[many], n[many])]
+        dish, count = np.unique(w, return_counts=True)
+        rows += [(DISHES, x, 0, dish[i], count[i]) for x, i in _by_bucket(dish, shape.word_buckets)]
+        ask = np.unique(w[many])
+        ask = ask[~_found(shape.head_h, ask)[1]]
+        rows += [(ASKS, x, key, ask[i]) for x, i in _by_bucket(ask, shape.word_buckets)]
+        rows += _spread(r[r >= len(customers)] - len(customers), np.ones((r >= len(customers)).sum()), len(shape.hot_h))
+        return _packed_frame(rows)
 
-    def __init__(self, head_h, head_c, pair_h, pair_p, tokens, types, ends):
-        self.head_h, self.head_c = head_h, head_c
-        self.pair_h, self.pair_p = pair_h, pair_p
-        self.ends = ends
-        self.base_norm = math.log10(tokens + 0.5 * (types + 1))
+    return run
 
 
-def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where hashes are in a sorted table, and whether they are."""
-    if not len(table):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
+def _spread(number, tables, size: int) -> list[tuple]:
+    """Tables of contexts that are dealt out by pairs, in lanes."""
+    total = np.bincount(number, tables, minlength=size).astype(np.int64)
+    some = np.flatnonzero(total)
+    return [(SPREAD, int(x), 0, some[i], total[some[i]]) for x, i in _by_bucket(some.astype(np.uint64), _LANES)]
+
+
+def _first_parent(pdf: pd.DataFrame) -> pd.DataFrame:
+    w = np.frombuffer(b"".join(pdf["a"]), np.uint64)
+    n = np.frombuffer(b"".join(pdf["b"]), np.int64)
+    w, back = np.unique(w, return_inverse=True)
+    c = np.bincount(back, n, minlength=len(w)).astype(np.int64)
+    return _parent_row(int(pdf["key"].iloc[0]), w, c, c, np.ones(len(w), np.int64), np.zeros((len(w), 0)))
+
+
+_PARENT = "key int, w binary, k binary, c binary, t binary, bases binary, customers long, tables long, sums binary"
+
+
+def _parent_row(key, w, k, c, t, bases) -> pd.DataFrame:
+    s = seating.sums(c, t, [], [])
+    packed = {"w": w, "k": k, "c": c, "t": t, "bases": bases.astype(np.float32), "sums": s}
+    return pd.DataFrame({"key": np.array([key], np.int32)} | {x: [v.tobytes()] for x, v in packed.items()} | {"customers": [int(c.sum())], "tables": [int(t.sum())]})[[x.split()[0] for x in _PARENT.split(", ")]]
 
 
-def _tail(h: np.ndarray, r: np.ndarray) -> np.ndarray:
-    out = np.empty(len(h), _TAIL)
-    out["h"], out["r"] = h, r
+def _unpacked(row):
+    w, k, c, t = (np.frombuffer(row[x], y) for x, y in (("w", np.uint64), ("k", np.int64), ("c", np.int64), ("t", np.int64)))
+    bases = np.frombuffer(row["bases"], np.float32)
+    return w, k, c, t, bases.reshape(len(w), len(bases) // max(len(w), 1))
+
+
+class Parent:
+    """The parent's totals and parameters, from which a word's probability
+    follows from its customers and tables."""
+
+    def __init__(self, customers: int, tables: int, kinds: int, theta: float, d: float):
+        self.customers, self.tables, self.kinds, self.theta, self.d = customers, tables, kinds, theta, d
+
+    @property
+    def unknown(self) -> float:
+        return (self.theta + self.d * self.tables) / self.kinds / (self.theta + self.customers)
+
+    def base(self, c, t):
+        return np.maximum(c - self.d * t, 0) / (self.theta + self.customers) + self.unknown
+
+
+def _answers(parent: Parent | None):
+    """A word bucket's parent row and the words that buckets ask about -> (key:
+    the asking bucket, a: words, b: probabilities): of ``parent``'s state, or
+    without one the samples kept."""
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            w, _, c, t, bases = _unpacked(rows.iloc[0])
+            if parent is not None:
+                bases = parent.base(c, t)[:, None].astype(np.float32)
+            for other, part in asks.groupby("other"):
+                ask = np.unique(np.frombuffer(b"".join(part["a"]), np.uint64))
+                at, some = _found(w, ask)
+                if some.any():
+                    out.append((ASKS, int(other), 0, ask[some], bases[at[some]]))
+        return _packed_frame(out)
+
+    return run
+
+
+def _bases(shape: Shape, head, answers: pd.DataFrame, unknown, w) -> np.ndarray:
+    """Probabilities of words under the parent, words x samples: frequent words
+    from ``head``, others as answered, else ``unknown``."""
+    out = np.tile(np.asarray(unknown, float), (len(w), 1))
+    at, some = _found(shape.head_h, w)
+    out[some] = head[at[some]]
+    if len(answers):
+        h = np.frombuffer(b"".join(answers["a"]), np.uint64)
+        p = np.frombuffer(b"".join(answers["b"]), np.float32).reshape(len(h), out.shape[1])
+        o = np.argsort(h)
+        at, known = _found(h[o], w)
+        known &= ~some
+        out[known] = p[o][at[known]]
     return out
 
 
-def _scored(model, buckets: int, pair_buckets: int):
+class Round:
+    """What a round of seating needs of the state before it."""
+
+    def __init__(self, parent, head, hot_tables, theta, d, number, inner, seed):
+        self.parent, self.head, self.hot_tables = parent, head, hot_tables
+        self.theta, self.d, self.number = theta, d, number
+        self.inner, self.seed = inner, seed
+
+
+def _seated(sent, state, kept: bool):
+    """A bucket's cells and the answers to it -> tables beyond the first by
+    word, tables of contexts dealt out by pairs, what seatings tell of the
+    parameters, and (if ``kept``) probabilities of common pairs."""
+
+    def run(cells: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells):
+            return _packed_frame([])
+        shape, now = sent.value, state.value
+        key = int(cells["key"].iloc[0])
+        rng = np.random.default_rng((now.seed, now.number, key))
+        row = cells.iloc[0]
+        customers, ones, r, n = (np.frombuffer(row[c], np.int64) for c in "abce")
+        w = np.frombuffer(row["d"], np.uint64)
+        base = _bases(shape, now.head[:, None], answers, [now.parent.unknown], w)[:, 0]
+        m = len(customers)
+        own = r < m
+        tables = np.concatenate((ones + np.bincount(r[own], minlength=m), now.hot_tables))
+        t = seating.sweeps(r, n, tables, base, now.theta, now.d, rng, now.inner, fixed=m)
+        dish, back = np.unique(w[t > 1], return_inverse=True)
+        more = np.bincount(back, t[t > 1] - 1, minlength=len(dish)).astype(np.int64)
+        rows = [(DISHES, x, 0, dish[i], more[i]) for x, i in _by_bucket(dish, shape.word_buckets)]
+        rows += _spread(r[~own] - m, t[~own] - 1, len(shape.hot_h))
+        rows.append((SUMS, key % 16, 0, seating.sums(n, t, tables[:m], customers)))
+        if kept and (often := np.flatnonzero(n >= shape.hot_floor)).size:
+            size = np.concatenate((customers, shape.hot_n))[r[often]]
+            p = (n[often] - now.d * t[often] + (now.theta + now.d * tables[r[often]]) * base[often]) / (now.theta + size)
+            # Their contexts are no less frequent, so they are dealt out by pairs.
+            rows.append((PAIRS, key, 0, pair_hash(shape.hot_h[r[often] - m], w[often]), p))
+        return _packed_frame(rows)
+
+    return run
+
+
+def _parent_seated(before: Parent, number: int, kept: bool, seed: int):
+    """A word bucket's parent row and the tables beyond the first that its words
+    have in restaurants -> the parent's row after drawing its own tables; what
+    it was before is added to the samples if ``kept``."""
+
+    def run(rows: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        w, k, c, t, bases = _unpacked(rows.iloc[0])
+        if kept:
+            bases = np.column_stack((bases, before.base(c, t)))
+        h = np.frombuffer(b"".join(more["a"]), np.uint64)
+        n = np.frombuffer(b"".join(more["b"]), np.int64)
+        c = k + np.bincount(np.searchsorted(w, h), n, minlength=len(w)).astype(np.int64)
+        rng = np.random.default_rng((seed, number, int(rows["key"].iloc[0]), 1))
+        rest = before.tables - t
+        base = np.full(len(w), 1 / before.kinds)
+        big = c > seating.EXACT
+        t = np.empty(len(w), np.int64)
+        for part, law in ((~big, seating.draw), (big, seating.crowd)):
+            t[part] = law(c[part], rest[part], base[part], before.theta, before.d, rng)
+        return _parent_row(int(rows["key"].iloc[0]), w, k, c, t, bases)
+
+    return run
+
+
+def _head_of(sent, parent: Parent | None):
+    """Parent rows -> the frequent words (a: places in the head, b: probabilities)."""
+
+    def run(frames):
+        shape = sent.value
+        for f in frames:
+            for _, row in f.iterrows():
+                w, _, c, t, bases = _unpacked(row)
+                at, some = _found(shape.head_h, w)
+                p = parent.base(c, t) if parent else bases
+                yield _packed_frame([(DISHES, 0, 0, at[some], p[some].astype(np.float32))])
+
+    return run
+
+
+def _head(parents: DataFrame, sent, shape: Shape, unknown, parent: Parent | None = None) -> np.ndarray:
+    """Words of the head x samples (or the one state of ``parent``)."""
+    out = np.tile(np.asarray(unknown, float), (len(shape.head_h), 1))
+    for r in parents.mapInPandas(_head_of(sent, parent), _PACKED).select("a", "b").collect():  # the head is bounded
+        at = np.frombuffer(r.a, np.int64)
+        out[at] = np.frombuffer(r.b, np.float32).reshape(len(at), out.shape[1])
+    return out
+
+
+def _added_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one kind and key, as one: a: numbers, b: their sums (``SPREAD``),
+    or a: sums (``SUMS``)."""
+    kind, key = int(pdf["kind"].iloc[0]), int(pdf["key"].iloc[0])
+    if kind == SUMS:
+        return _packed_frame([(SUMS, key, 0, np.sum([np.frombuffer(x) for x in pdf["a"]], axis=0))])
+    at, back = np.unique(np.frombuffer(b"".join(pdf["a"]), np.int64), return_inverse=True)
+    n = np.frombuffer(b"".join(pdf["b"]), np.int64)
+    return _packed_frame([(SPREAD, key, 0, at, np.bincount(back, n, minlength=len(at)).astype(np.int64))])
+
+
+def _totals(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of the contexts dealt out by pairs, and the sums for the
+    parameters: at most ``_LANES`` + 16 rows reach the driver."""
+    spread, sums = np.zeros(size, np.int64), np.zeros(seating.N_SUMS)
+    few = table.where(F.col("kind").isin(SPREAD, SUMS)).groupBy("kind", "key").applyInPandas(_added_up, _PACKED)
+    for r in few.select("kind", "a", "b").collect():
+        if r.kind == SUMS:
+            sums += np.frombuffer(r.a)
+        else:
+            spread[np.frombuffer(r.a, np.int64)] += np.frombuffer(r.b, np.int64)
+    return spread, sums
+
+
+class Scoring:
+    """The kept samples, to score tokens by."""
+
+    def __init__(self, samples, head, unknown, common_h, common_p, inner, seed):
+        self.samples = samples  # (theta, d, tables of contexts dealt out by pairs)
+        self.head, self.unknown = head, unknown  # words x samples, samples
+        self.common_h, self.common_p = common_h, common_p
+        self.inner, self.seed = inner, seed
+
+
+def sampled(numbered: DataFrame, shape: Shape, sent, burn_in: int, samples: int, inner: int, seed: int, parameters: tuple[float, float, float, float] | None):
+    """Run the rounds over the training texts -> (the parent's rows, staged,
+    with the samples of every word's probability; ``Scoring``).
+    ``parameters`` (strength, discount, the parent's two) are drawn if None."""
+    spark = numbered.sparkSession
+    cells = []
+    for k in range(shape.slices):
+        pairs = numbered.where("not held_out").mapInArrow(_pair_counts(sent, k), _PACKED)
+        cells.append(stage_table(pairs.groupBy("key").applyInPandas(_cells(sent), _PACKED), "cells"))
+        free_shuffles(spark)
+    tables = cells[0]
+    for x in cells[1:]:
+        tables = tables.unionByName(x)
+    parents = tables.where(F.col("kind") == DISHES).groupBy("key").applyInPandas(_first_parent, _PARENT)
+    parents = stage_table(parents, "parent")
+    distinct, _ = _totals(tables, len(shape.hot_h))
+    hot_tables = distinct
+    rng = np.random.default_rng(seed)
+    theta, d, theta0, d0 = parameters or (1.0, 0.75, 1.0, 0.5)
+    kept_rounds, common = [], {}
+    unknown = []
+    for number in range(burn_in + samples):
+        kept = number >= burn_in
+        size = parents.agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).first()
+        parent = Parent(int(size.customers or 0), int(size.tables or 0), shape.kinds, theta0, d0)
+        head = _head(parents, sent, shape, [parent.unknown], parent=parent)[:, 0]
+        state = spark.sparkContext.broadcast(Round(parent, head, hot_tables, theta, d, number, inner, seed))
+        asks = tables.where(F.col("kind") == ASKS)
+        answers = parents.groupBy("key").cogroup(asks.groupBy("key")).applyInPandas(_answers(parent), _PACKED)
+        mine = tables.where(F.col("kind") == CELLS)
+        seated = stage_table(mine.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(_seated(sent, state, kept), _PACKED), "seated")
+        more, sums = _totals(seated, len(shape.hot_h))
+        hot_tables = distinct + more
+        rows = parents.groupBy("key").cogroup(seated.where(F.col("kind") == DISHES).groupBy("key"))
+        after = stage_table(rows.applyInPandas(_parent_seated(parent, number, kept, seed), _PARENT), "parent")
+        drop_table(parents)
+        parents = after
+        if kept:
+            kept_rounds.append((theta, d, hot_tables))
+            unknown.append(parent.unknown)
+            for r in seated.where(F.col("kind") == PAIRS).select("a", "b").toLocalIterator():  # at most 1 / HOT pairs
+                for h, p in zip(np.frombuffer(r.a, np.uint64).tolist(), np.frombuffer(r.b).tolist(), strict=True):
+                    common[h] = common.get(h, 0.0) + p / samples
+        if parameters is None:
+            theta, d = seating.sample_parameters(sums + seating.sums([], [], hot_tables, shape.hot_n), rng)
+            s = np.zeros(seating.N_SUMS)
+            for r in parents.groupBy(F.col("key") % 16).applyInPandas(lambda f: pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in f["sums"]], axis=0).tobytes()]}), "sums binary").collect():
+                s += np.frombuffer(r["sums"])
+            size = parents.agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).first()
+            theta0, d0 = seating.sample_parameters(s + seating.sums([], [], [size.tables or 0], [size.customers or 0]), rng)
+        drop_table(seated)
+        state.unpersist()
+        free_shuffles(spark)
+    for x in cells:
+        drop_table(x)
+    head = _head(parents, sent, shape, unknown)
+    h = np.array(sorted(common), np.uint64)
+    p = np.log10([common[x] for x in h.tolist()])
+    return parents, Scoring(kept_rounds, head, np.array(unknown), h, p, inner, seed)
+
+
+# --- scores --------------------------------------------------------------
+
+
+def _asked(sent, k: int):
+    """Texts -> the rare words of each bucket's tokens, by word bucket."""
+
     def run(batches):
-        m = model.value
-        for k, b in enumerate(batches):
-            group = (TaskContext.get().partitionId() << 32) + k
-            rows, tails, pairs = [], [], []
-            for i, j, data, offs in text_chunks(b.column(1)):
-                h, doc, _ = words_of(data, offs)
-                n = j - i
-                p = pair_hash(*pairs_of(h, doc, n))
-                owner = np.concatenate((doc, np.arange(n)))
-                at, often = _found(m.pair_h, p)
-                score = np.bincount(owner[often], m.pair_p[at[often]], minlength=n)
-                pairs.append(_tail(p[~often], owner[~often] + i))
-                base = np.full(n, math.log10(m.ends + 0.5))
-                known = np.full(n, int(m.ends > 0))
-                at, head = _found(m.head_h, h)
-                c = m.head_c[at[head]]
-                base += np.bincount(doc[head], np.log10(c + 0.5), minlength=n)
-                known += np.bincount(doc[head], minlength=n)
-                count = np.bincount(doc, minlength=n) + 1
-                rows.append((count, known, base - count * m.base_norm, score))
-                tails.append(_tail(h[~head], doc[~head] + i))
-            count, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 4
-            n = len(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), pa.array(np.full(n, group)), pa.nulls(n, pa.binary()), b.column(0), b.column(2), pa.array(np.arange(n)), pa.array(count.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))],
-                _ROW,
-            )
-            for first, parts, many in ((0, tails, buckets), (buckets, pairs, pair_buckets)):
-                tail = np.concatenate(parts) if parts else np.zeros(0, _TAIL)
-                out = _by_bucket(tail["h"], many)
-                n = len(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + x for x, _ in out], pa.int32()), pa.array(np.full(n, group)), pa.array([tail[i].tobytes() for _, i in out], pa.binary()), pa.nulls(n, b.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
-                    _ROW,
-                )
+        shape = sent.value
+        for b in batches:
+            for _, part in _groups(b):
+                if (got := _tokens_of(part, shape, k, False)) is None:
+                    continue
+                w, place = got[1], got[2]
+                rare = ~_found(shape.head_h, w)[1]
+                w, place = w[rare], place[rare]
+                at = (w % U64(shape.word_buckets)).astype(np.int64)
+                o = np.lexsort((w, place, at))
+                w, place, at = w[o], place[o], at[o]
+                new = np.concatenate(([True], (w[1:] != w[:-1]) | (place[1:] != place[:-1]))) if len(w) else np.zeros(0, bool)
+                w, place, at = w[new], place[new], at[new]
+                cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1])))).tolist() if len(w) else []
+                yield _packed([(ASKS, int(at[i]), int(place[i]), w[i:j]) for i, j in zip(cuts, [*cuts[1:], len(w)], strict=True)] if cuts else [])
 
     return run
 
 
-_ROW = ["bucket", "grp", "data", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score"]
+_TOKENS = "key int, grp long, u binary, w binary, learnt binary, size binary, rows binary"
 
 
-def _looked_up(buckets: int):
-    """A bucket's words (or pairs, from bucket ``buckets`` on) and the tokens
-    that ask for them -> sums by text."""
+def _listed(sent, scoring, k: int):
+    """Texts -> by bucket each group's distinct pairs, how often they are
+    learnt from, and the rows of their tokens (none for common pairs)."""
 
-    def run(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
+    def run(batches):
+        shape, common = sent.value, scoring.value.common_h
+        for b in batches:
+            for group, part in _groups(b):
+                if (got := _tokens_of(part, shape, k, False)) is None or not len(got[0]):
+                    continue
+                o = np.lexsort((got[1], got[0], got[2]))
+                u, w, place, rows, learnt = (x[o] for x in got)
+                first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+                n = np.add.reduceat(learnt.astype(np.int64), first).astype(np.uint32)
+                size = np.diff(np.append(first, len(u)))
+                u, w, place = u[first], w[first], place[first]
+                often = _found(common, pair_hash(u, w))[1]
+                rows = rows[~np.repeat(often, size)].astype(np.uint16)
+                size = np.where(often, 0, size)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                size = size.astype(np.uint32)
+                cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))).tolist()
+                out = [(int(place[i]), group, u[i:j].tobytes(), w[i:j].tobytes(), n[i:j].tobytes(), size[i:j].tobytes(), rows[ends[i] : ends[j]].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(u)], strict=True)]
+                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _TOKENS.split(", ")])
+
+    return run
+
+
+def _pair_logs(shape: Shape, scoring: Scoring, u, w, n, bases, key: int) -> np.ndarray:
+    """log10 P(w | u) of distinct pairs that are all of a bucket, ordered by
+    context: restaurants are seated under each sample, probabilities averaged."""
+    seen = n > 0
+    r, customers, ones, contexts = _contexts(shape, u[seen], n[seen])
+    m, hot = len(customers), len(shape.hot_h)
+    many = n[seen] > 1
+    # Restaurants of all pairs; the last one is empty, for unknown contexts.
+    at, cold = _found(contexts, u)
+    spread, is_hot = _found(shape.hot_h, u)
+    number = np.where(is_hot, m + spread, np.where(cold, at, m + hot))
+    size = np.concatenate((customers, shape.hot_n, [0]))
+    own = r[many] < m
+    total = 0.0
+    t = seen.astype(np.int64)
+    where = np.flatnonzero(seen)[many]
+    for s, (theta, d, hot_tables) in enumerate(scoring.samples):
+        rng = np.random.default_rng((scoring.seed, s, key, 2))
+        tables = np.concatenate((ones + np.bincount(r[many][own], minlength=m), hot_tables, [0]))
+        t[where] = seating.sweeps(r[many], n[where], tables, bases[where, s], theta, d, rng, scoring.inner, fixed=m)
+        total = total + (n - d * t + (theta + d * tables[number]) * bases[:, s]) / (theta + size[number])
+    return np.log10(total / len(scoring.samples))
+
+
+def _token_scores(sent, kept):
+    """A bucket's tokens and the answers to it -> sums of log10 P by group and row."""
+
+    def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(tokens):
             return pd.DataFrame({"grp": pd.Series([], dtype="int64"), "data": []})
-        pairs = asked["bucket"].iloc[0] >= buckets
-        h = np.frombuffer(b"".join(words["h"]), np.uint64)
-        c = np.frombuffer(b"".join(words["c"]), np.float32 if pairs else np.int64)
-        o = np.argsort(h)
-        h, c = h[o], c[o]
-        groups, data = [], []
-        for group, blob in zip(asked["grp"], asked["data"], strict=True):
-            x = np.frombuffer(blob, _TAIL)
-            at, found = _found(h, x["h"])
-            got = np.where(found, c[at], 0) if len(h) else np.zeros(len(x))
-            r, back = np.unique(x["r"], return_inverse=True)
-            out = np.zeros(len(r), _PART)
-            out["r"] = r
-            if pairs:
-                out["model"] = np.bincount(back, got, minlength=len(r))
-            else:
-                out["known"] = np.bincount(back, got > 0, minlength=len(r))
-                out["base"] = np.bincount(back, np.log10(got + 0.5), minlength=len(r))
+        shape, scoring = sent.value, kept.value
+        u, w, n = (np.frombuffer(b"".join(tokens[c]), t) for c, t in (("u", np.uint64), ("w", np.uint64), ("learnt", np.uint32)))
+        u, w, n, o, first = _summed_pairs(u, w, n)
+        back = np.empty(len(o), np.int64)
+        back[o] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(o))))
+        bases = _bases(shape, scoring.head, answers, scoring.unknown, w)
+        logs = _pair_logs(shape, scoring, u, w, n, bases, int(tokens["key"].iloc[0]))[back]
+        groups, data, i = [], [], 0
+        for group, size, rows in zip(tokens["grp"], tokens["size"], tokens["rows"], strict=True):
+            size = np.frombuffer(size, np.uint32)
+            p = np.repeat(logs[i : i + len(size)], size)
+            i += len(size)
+            r, at = np.unique(np.frombuffer(rows, np.uint16), return_inverse=True)
+            out = np.empty(len(r), _SUM)
+            out["r"], out["model"] = r, np.bincount(at, p, minlength=len(r))
             groups.append(group)
             data.append(out.tobytes())
         return pd.DataFrame({"grp": pd.Series(groups, dtype="int64"), "data": data})
@@ -401,8 +649,84 @@ def _looked_up(buckets: int):
     return run
 
 
+def _summed_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = np.frombuffer(b"".join(pdf["data"]), _SUM)
+    r, back = np.unique(x["r"], return_inverse=True)
+    out = np.zeros(len(r), _PART)
+    out["r"], out["model"] = r, np.bincount(back, x["model"], minlength=len(r))
+    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "data": [out.tobytes()]})
+
+
+_ROW = ["bucket", "grp", "data", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score"]
+
+
+def _counted(sent, scoring):
+    """Texts -> their rows, with what broadcast words and pairs add, and by
+    word bucket the other words."""
+
+    def run(batches):
+        shape, common = sent.value, scoring.value
+        for b in batches:
+            for group, part in _groups(b):
+                rows, tails = [], []
+                at_row = part.column(4).to_numpy()
+                for i, j, data, offs in text_chunks(part.column(1)):
+                    h, doc, _ = words_of(data, offs)
+                    n = j - i
+                    at, often = _found(common.common_h, pair_hash(*pairs_of(h, doc, n)))
+                    owner = np.concatenate((doc, np.arange(n)))
+                    score = np.bincount(owner[often], common.common_p[at[often]], minlength=n)
+                    base = np.full(n, math.log10(shape.ends + 0.5))
+                    known = np.full(n, int(shape.ends > 0))
+                    at, head = _found(shape.head_h, h)
+                    c = shape.head_c[at[head]]
+                    base += np.bincount(doc[head], np.log10(c + 0.5), minlength=n)
+                    known += np.bincount(doc[head], minlength=n)
+                    count = np.bincount(doc, minlength=n) + 1
+                    rows.append((count, known, base - count * shape.base_norm, score))
+                    tail = np.empty((~head).sum(), _TAIL)
+                    tail["h"], tail["r"] = h[~head], at_row[i + doc[~head]]
+                    tails.append(tail)
+                count, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True))
+                n = len(count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int32()), pa.array(np.full(n, group)), pa.nulls(n, pa.binary()), part.column(0), part.column(2), pa.array(at_row.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))],
+                    _ROW,
+                )
+                tail = np.concatenate(tails)
+                out = _by_bucket(tail["h"], shape.word_buckets)
+                n = len(out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in out], pa.int32()), pa.array(np.full(n, group)), pa.array([tail[i].tobytes() for _, i in out], pa.binary()), pa.nulls(n, part.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
+                    _ROW,
+                )
+
+    return run
+
+
+def _looked_up(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's words and the tokens that ask for them -> sums by text."""
+    h = np.frombuffer(b"".join(words["h"]), np.uint64)
+    c = np.frombuffer(b"".join(words["c"]), np.int64)
+    o = np.argsort(h)
+    h, c = h[o], c[o]
+    groups, data = [], []
+    for group, blob in zip(asked["grp"], asked["data"], strict=True):
+        x = np.frombuffer(blob, _TAIL)
+        at, found = _found(h, x["h"])
+        got = np.where(found, c[at], 0) if len(h) else np.zeros(len(x))
+        r, back = np.unique(x["r"], return_inverse=True)
+        out = np.zeros(len(r), _PART)
+        out["r"] = r
+        out["known"] = np.bincount(back, got > 0, minlength=len(r))
+        out["base"] = np.bincount(back, np.log10(got + 0.5), minlength=len(r))
+        groups.append(group)
+        data.append(out.tobytes())
+    return pd.DataFrame({"grp": pd.Series(groups, dtype="int64"), "data": data})
+
+
 def _added(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-    """A batch's texts and the sums that came back for them."""
+    """A group's texts and the sums that came back for them."""
     out = rows[["id", "held_out", "n_tokens", "n_known", "base_score", "score"]].copy()
     if len(parts) and len(rows):
         x = np.frombuffer(b"".join(parts["data"]), _PART)
@@ -417,8 +741,14 @@ def _added(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
 def language_scores(
     docs: DataFrame,
     held_out: tuple[int, int] = (5, 1),
+    burn_in: int = 2,
+    samples: int = 2,
+    inner: int = 2,
+    parameters: tuple[float, float, float, float] | None = None,
     table_share: float = 2e-6,
-    bucket_tokens: int = 400_000,
+    bucket_tokens: int = 800_000,
+    slices: int = 4,
+    seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -431,44 +761,59 @@ def language_scores(
     (the model), both log10 probabilities of the text, double. Perplexity is
     10 ** (-score / n_tokens).
 
+    ``samples`` states of the parent are kept after ``burn_in`` rounds; in each,
+    restaurants make ``inner`` sweeps. ``parameters`` (strength, discount, the
+    parent's strength, discount) are drawn each round if None.
+    ``table_share``: words with that share of the tokens are broadcast;
+    ``bucket_tokens`` tokens make a task; ``slices`` parts of the contexts are
+    counted one after the other. None of these leaves out anything.
+
     Null texts are empty: the end alone. Null ids hash as the empty text.
     Repeated rows count and are repeated. Without training texts nothing is
-    known and the model has one unknown type. Other columns are ignored. Empty
-    input: no rows.
+    known and the model has one unknown type. Other columns, whatever their
+    names, are ignored. Empty input: no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held_out", remainder("id", held_out[0]) == held_out[1])
     kind = source.schema["id"].dataType.simpleString()
-    train = source.where("not held_out").select("text")
+    numbered = stage_table(source.mapInArrow(_numbered, f"id {kind}, text string, held_out boolean, grp long, r int"), "texts", "zstd")
+    train = numbered.where("not held_out").select("text")
     partial = stage_table(train.mapInArrow(_batch_counts, "h binary, c binary, distinct long, texts long"), "partial")
     size = partial.agg(F.sum("distinct").alias("distinct"), F.sum("texts").alias("texts")).first()
     ends = int(size.texts or 0)
-    buckets = max(12, math.ceil((size.distinct or 0) / bucket_tokens))
-    words = partial.mapInArrow(_split(buckets), "bucket int, h binary, c binary").groupBy("bucket")
-    words = stage_table(words.applyInPandas(_total, "bucket int, h binary, c binary, tokens long, types long, ones long, twos long"), "words")
-    of = words.agg(*(F.sum(x).alias(x) for x in ("tokens", "types", "ones", "twos"))).first()
+    word_buckets = max(12, math.ceil((size.distinct or 0) / 400_000))
+    words = partial.mapInArrow(_split(word_buckets), "bucket int, h binary, c binary").groupBy("bucket")
+    words = stage_table(words.applyInPandas(_total, "bucket int, h binary, c binary, tokens long, types long"), "words")
+    drop_table(partial)
+    of = words.agg(*(F.sum(x).alias(x) for x in ("tokens", "types"))).first()
     tokens, types = int(of.tokens or 0) + ends, int(of.types or 0) + (ends > 0)
 
     # At most 1 / table_share words.
     floor = max(1, math.ceil(table_share * tokens))
-    head = words.select("h", "c").mapInPandas(_above(floor), "h long, c long").toPandas()
-    head_h, head_c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    head = words.select("h", "c").mapInPandas(_above(floor), "h binary, c binary").collect()
+    head_h, head_c = np.frombuffer(b"".join(r.h for r in head) + END.tobytes(), np.uint64), np.frombuffer(b"".join(r.c for r in head) + np.int64(ends).tobytes(), np.int64)
     o = np.argsort(head_h)
-    head_h, head_c = head_h[o], head_c[o]
-    pairs = stage_table(source.select("text", "held_out").mapInArrow(_pair_counts, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
-    pair_buckets = max(12, math.ceil(pairs.count() / bucket_tokens))
-    logs = stage_table(pair_scores(pairs, types, max(2, math.ceil(HOT * tokens))), "logs")
-    # At most 1 / table_share pairs, too.
-    often = logs.where(F.col("n") >= floor).select("u", "w", "logp").toPandas()
-    pair_h, pair_p = pair_hash(often["u"].to_numpy(np.int64).view(np.uint64), often["w"].to_numpy(np.int64).view(np.uint64)), often["logp"].to_numpy(float)
-    o = np.argsort(pair_h)
-    model = spark.sparkContext.broadcast(Model(head_h, head_c, pair_h[o], pair_p[o], tokens, types, ends))
+    hot = max(1000, floor, min(math.ceil(HOT * tokens), bucket_tokens // 4))
+    buckets = max(3 * slices, math.ceil(tokens / bucket_tokens))
+    shape = Shape(head_h[o], head_c[o], tokens, types, ends, buckets, word_buckets, slices, hot)
+    sent = spark.sparkContext.broadcast(shape)
+    parents, scoring = sampled(numbered, shape, sent, burn_in, samples, inner, seed, parameters)
+    kept = spark.sparkContext.broadcast(scoring)
 
     row = f"bucket int, grp long, data binary, id {kind}, held_out boolean, r long, n_tokens long, n_known long, base_score double, score double"
-    scored = stage_table(source.select("id", "text", "held_out").mapInArrow(_scored(model, buckets, pair_buckets), row), "scored")
-    asked = scored.where("bucket is not null").select("bucket", "grp", "data")
-    tables = words.select("bucket", "h", "c").unionByName(logs.mapInArrow(_packed(floor, pair_buckets, buckets), "bucket int, h binary, c binary"))
-    parts = tables.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_looked_up(buckets), "grp long, data binary")
-    rows = scored.where("bucket is null").select("grp", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score")
+    counted = stage_table(numbered.mapInArrow(_counted(sent, kept), row), "counted")
+    asked = counted.where("bucket is not null").select("bucket", "grp", "data")
+    parts = stage_table(words.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_looked_up, "grp long, data binary"), "parts")
+    for k in range(slices):
+        free_shuffles(spark)
+        asks = numbered.mapInArrow(_asked(sent, k), _PACKED)
+        answers = parents.groupBy("key").cogroup(asks.groupBy("key")).applyInPandas(_answers(None), _PACKED)
+        listed = numbered.mapInArrow(_listed(sent, kept, k), _TOKENS)
+        scores = listed.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(_token_scores(sent, kept), "grp long, data binary")
+        parts = parts.unionByName(stage_table(scores.groupBy("grp").applyInPandas(_summed_up, "grp long, data binary"), "scores"))
+    for x in (numbered, words, parents):
+        drop_table(x)
+    free_shuffles(spark)
+    rows = counted.where("bucket is null").select("grp", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score")
     out = rows.groupBy("grp").cogroup(parts.groupBy("grp")).applyInPandas(_added, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
