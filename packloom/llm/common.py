@@ -11,6 +11,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -65,9 +66,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced;
-    it does so when the driver's collector finds them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    it does so when the driver's collector finds them, which takes two rounds:
+    what the first one frees held the others."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 @atexit.register

@@ -44,6 +44,7 @@ END, START = U64(0x7F4A7C159E3779B9), U64(0x1CE4E5B9BF58476D)
 HOT = 1e-4
 _GROUP_ROWS, _GROUP_BYTES = 4096, 8 << 20
 _LANES = 64
+_LOW = U64((1 << 24) - 1)
 _TAIL = np.dtype([("h", "<u8"), ("r", "<u4")])
 _PART = np.dtype([("r", "<u4"), ("known", "<u4"), ("base", "<f8"), ("model", "<f8")])
 _SUM = np.dtype([("r", "<u4"), ("model", "<f8")])
@@ -155,6 +156,16 @@ def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
+def _found_often(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_found`` where most hashes occur again and again."""
+    o = np.argsort(h)
+    first = np.concatenate(([True], h[o][1:] != h[o][:-1])) if len(h) else np.zeros(0, bool)
+    at, some = _found(table, h[o[first]])
+    number = np.empty(len(h), np.int64)
+    number[o] = np.cumsum(first) - 1
+    return at[number], some[number]
+
+
 class Shape:
     """How words, contexts and pairs are dealt out, and what is broadcast."""
 
@@ -170,28 +181,38 @@ class Shape:
         self.hot_h, self.hot_n = h[o], n[o]
         self.base_norm = math.log10(tokens + 0.5 * (types + 1))
 
-    def place(self, u, w):
-        """The bucket of each pair."""
-        return (np.where(_found(self.hot_h, u)[1], pair_hash(u, w), mix(u)) % U64(self.buckets)).astype(np.int64)
+    def place(self, u, w, mixed, k: int):
+        """The bucket of each pair of slice k (``mixed`` mod ``slices`` is k)."""
+        each = U64(self.buckets // self.slices)
+        own = np.where(_found_often(self.hot_h, u)[1], pair_hash(u, w), mixed // U64(self.slices))
+        return (own % each).astype(np.int64) * self.slices + k
 
 
 def _tokens_of(part: pa.RecordBatch, shape: Shape, k: int, only_learnt: bool):
-    """(context, word, bucket, row, learnt) of a group's tokens in slice k."""
+    """(context, word, bucket, row, learnt) of a group's tokens in slice k,
+    ordered by bucket and context, equal pairs together (but for one in 2**64)."""
     held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
     rows = part.column(4).to_numpy()
     got = []
     for i, j, data, offs in text_chunks(part.column(1)):
         h, doc, _ = words_of(data, offs)
         u, w = pairs_of(h, doc, j - i)
-        owner = np.concatenate((doc, np.arange(j - i))) + i
-        keep = np.ones(len(u), bool)
+        mixed = mix(u)
+        keep = np.flatnonzero(mixed % U64(shape.slices) == k)
+        owner = np.concatenate((doc, np.arange(j - i)))[keep] + i
         if only_learnt:
-            keep = ~held[owner]
-            u, w, owner = u[keep], w[keep], owner[keep]
-        place = shape.place(u, w)
-        keep = place % shape.slices == k
-        got.append((u[keep], w[keep], place[keep], rows[owner[keep]], ~held[owner[keep]]))
-    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else None
+            keep, owner = keep[~held[owner]], owner[~held[owner]]
+        u, w, mixed = u[keep], w[keep], mixed[keep]
+        got.append((u, w, mixed, rows[owner], ~held[owner]))
+    if not got:
+        return None
+    u, w, mixed, rows, learnt = (np.concatenate(x) for x in zip(*got, strict=True))
+    o = np.argsort(mixed & ~_LOW | mix(w) & _LOW)
+    u, w = u[o], w[o]
+    place = shape.place(u, w, mixed[o], k)
+    again = np.argsort(place.astype(np.uint16 if shape.buckets < 1 << 16 else np.uint32), kind="stable")
+    o = o[again]
+    return u[again], w[again], place[again], rows[o], learnt[o]
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,8 +237,6 @@ def _pair_counts(sent, k: int):
                 if (got := _tokens_of(part, shape, k, True)) is None or not len(got[0]):
                     continue
                 u, w, place = got[:3]
-                o = np.lexsort((w, u, place))
-                u, w, place = u[o], w[o], place[o]
                 first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
                 n = np.diff(np.append(first, len(u))).astype(np.uint32)
                 u, w, place = u[first], w[first], place[first]
@@ -228,25 +247,39 @@ def _pair_counts(sent, k: int):
 
 
 def _summed_pairs(u, w, n):
-    """Distinct pairs, ordered by context, and their sums."""
-    o = np.lexsort((w, u))
-    u, w = u[o], w[o]
-    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-    return u[first], w[first], np.add.reduceat(n[o].astype(np.int64), first), o, first
+    """Distinct pairs, ordered by context, their sums, and the number of each
+    row's pair. Pairs are told apart by their hash."""
+    h = pair_hash(u, w)
+    o = np.argsort(h)
+    h = h[o]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    n = np.add.reduceat(n[o].astype(np.int64), first)
+    size = np.diff(np.append(first, len(o)))
+    first = o[first]
+    by_context = np.argsort(u[first])
+    number = np.empty(len(first), np.int64)
+    number[by_context] = np.arange(len(first))
+    back = np.empty(len(o), np.int64)
+    back[o] = np.repeat(number, size)
+    first = first[by_context]
+    return u[first], w[first], n[by_context], back
 
 
 def _contexts(shape: Shape, u, n):
     """Of a bucket's pairs (ordered by context): the number of each one's
     restaurant - those dealt out by pairs behind the others - and customers,
     singles and hashes of the others."""
-    at, hot = _found(shape.hot_h, u)
-    new = np.concatenate(([True], u[1:] != u[:-1])) & ~hot if len(u) else np.zeros(0, bool)
-    number = np.cumsum(new) - 1
-    m = int(new.sum())
-    cold = ~hot
+    if not len(u):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), u
+    start = np.concatenate(([True], u[1:] != u[:-1]))
+    contexts = u[start]
+    at, hot = _found(shape.hot_h, contexts)
+    m = int((~hot).sum())
+    number = np.where(hot, m + at, np.cumsum(~hot) - 1)[np.cumsum(start) - 1]
+    cold = number < m
     customers = np.bincount(number[cold], n[cold], minlength=m).astype(np.int64)
     ones = np.bincount(number[cold], n[cold] == 1, minlength=m).astype(np.int64)
-    return np.where(hot, m + at, number), customers, ones, u[new]
+    return number, customers, ones, contexts[~hot]
 
 
 def _cells(sent):
@@ -256,7 +289,7 @@ def _cells(sent):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shape = sent.value
         key = int(pdf["key"].iloc[0])
-        u, w, n, _, _ = _summed_pairs(*(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32))))
+        u, w, n, _ = _summed_pairs(*(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32))))
         r, customers, ones, _ = _contexts(shape, u, n)
         many = n > 1
         rows = [(CELLS, key, 0, customers, ones, r[many], w[many], n[many])]
@@ -542,29 +575,6 @@ def sampled(numbered: DataFrame, shape: Shape, sent, burn_in: int, samples: int,
 # --- scores --------------------------------------------------------------
 
 
-def _asked(sent, k: int):
-    """Texts -> the rare words of each bucket's tokens, by word bucket."""
-
-    def run(batches):
-        shape = sent.value
-        for b in batches:
-            for _, part in _groups(b):
-                if (got := _tokens_of(part, shape, k, False)) is None:
-                    continue
-                w, place = got[1], got[2]
-                rare = ~_found(shape.head_h, w)[1]
-                w, place = w[rare], place[rare]
-                at = (w % U64(shape.word_buckets)).astype(np.int64)
-                o = np.lexsort((w, place, at))
-                w, place, at = w[o], place[o], at[o]
-                new = np.concatenate(([True], (w[1:] != w[:-1]) | (place[1:] != place[:-1]))) if len(w) else np.zeros(0, bool)
-                w, place, at = w[new], place[new], at[new]
-                cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1])))).tolist() if len(w) else []
-                yield _packed([(ASKS, int(at[i]), int(place[i]), w[i:j]) for i, j in zip(cuts, [*cuts[1:], len(w)], strict=True)] if cuts else [])
-
-    return run
-
-
 _TOKENS = "key int, grp long, u binary, w binary, learnt binary, size binary, rows binary"
 
 
@@ -578,8 +588,7 @@ def _listed(sent, scoring, k: int):
             for group, part in _groups(b):
                 if (got := _tokens_of(part, shape, k, False)) is None or not len(got[0]):
                     continue
-                o = np.lexsort((got[1], got[0], got[2]))
-                u, w, place, rows, learnt = (x[o] for x in got)
+                u, w, place, rows, learnt = got
                 first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
                 n = np.add.reduceat(learnt.astype(np.int64), first).astype(np.uint32)
                 size = np.diff(np.append(first, len(u)))
@@ -629,9 +638,7 @@ def _token_scores(sent, kept):
             return pd.DataFrame({"grp": pd.Series([], dtype="int64"), "data": []})
         shape, scoring = sent.value, kept.value
         u, w, n = (np.frombuffer(b"".join(tokens[c]), t) for c, t in (("u", np.uint64), ("w", np.uint64), ("learnt", np.uint32)))
-        u, w, n, o, first = _summed_pairs(u, w, n)
-        back = np.empty(len(o), np.int64)
-        back[o] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(o))))
+        u, w, n, back = _summed_pairs(u, w, n)
         bases = _bases(shape, scoring.head, answers, scoring.unknown, w)
         logs = _pair_logs(shape, scoring, u, w, n, bases, int(tokens["key"].iloc[0]))[back]
         groups, data, i = [], [], 0
@@ -661,31 +668,40 @@ _ROW = ["bucket", "grp", "data", "id", "held_out", "r", "n_tokens", "n_known", "
 
 
 def _counted(sent, scoring):
-    """Texts -> their rows, with what broadcast words and pairs add, and by
-    word bucket the other words."""
+    """Texts -> their rows, with what broadcast words and pairs add; by word
+    bucket the other words; and by word bucket (numbered behind those) the
+    other words that a bucket of pairs (grp) will ask about."""
 
     def run(batches):
         shape, common = sent.value, scoring.value
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(common.common_h & U64(0xFFFF)).astype(np.int64)] = True
         for b in batches:
             for group, part in _groups(b):
-                rows, tails = [], []
+                rows, tails, asks = [], [], []
                 at_row = part.column(4).to_numpy()
                 for i, j, data, offs in text_chunks(part.column(1)):
                     h, doc, _ = words_of(data, offs)
                     n = j - i
-                    at, often = _found(common.common_h, pair_hash(*pairs_of(h, doc, n)))
+                    u, w = pairs_of(h, doc, n)
+                    p = pair_hash(u, w)
+                    often = np.flatnonzero(maybe[(p & U64(0xFFFF)).astype(np.int64)])
+                    at, some = _found(common.common_h, p[often])
+                    at, often = at[some], often[some]
                     owner = np.concatenate((doc, np.arange(n)))
-                    score = np.bincount(owner[often], common.common_p[at[often]], minlength=n)
+                    score = np.bincount(owner[often], common.common_p[at], minlength=n)
                     base = np.full(n, math.log10(shape.ends + 0.5))
                     known = np.full(n, int(shape.ends > 0))
-                    at, head = _found(shape.head_h, h)
+                    at, head = _found_often(shape.head_h, h)
                     c = shape.head_c[at[head]]
                     base += np.bincount(doc[head], np.log10(c + 0.5), minlength=n)
                     known += np.bincount(doc[head], minlength=n)
                     count = np.bincount(doc, minlength=n) + 1
                     rows.append((count, known, base - count * shape.base_norm, score))
-                    tail = np.empty((~head).sum(), _TAIL)
-                    tail["h"], tail["r"] = h[~head], at_row[i + doc[~head]]
+                    rare = np.flatnonzero(~head)
+                    asks.append(np.stack((h[rare], _places(shape, u[rare], h[rare]))))
+                    tail = np.empty(len(rare), _TAIL)
+                    tail["h"], tail["r"] = h[rare], at_row[i + doc[rare]]
                     tails.append(tail)
                 count, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True))
                 n = len(count)
@@ -694,16 +710,29 @@ def _counted(sent, scoring):
                     _ROW,
                 )
                 tail = np.concatenate(tails)
-                out = _by_bucket(tail["h"], shape.word_buckets)
+                out = [(x, group, tail[i]) for x, i in _by_bucket(tail["h"], shape.word_buckets)]
+                w, place = np.concatenate(asks, axis=1)
+                o = np.argsort(place, kind="stable")
+                for x, i in _by_bucket(w[o], shape.word_buckets):
+                    w2, place2 = w[o][i], place[o][i]
+                    cuts = np.flatnonzero(np.concatenate(([True], place2[1:] != place2[:-1])))
+                    out += [(x + shape.word_buckets, int(place2[c]), np.unique(y)) for c, y in zip(cuts, np.split(w2, cuts[1:]), strict=True)]
                 n = len(out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in out], pa.int32()), pa.array(np.full(n, group)), pa.array([tail[i].tobytes() for _, i in out], pa.binary()), pa.nulls(n, part.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
+                    [pa.array([x for x, _, _ in out], pa.int32()), pa.array([g for _, g, _ in out], pa.int64()), pa.array([x.tobytes() for _, _, x in out], pa.binary()), pa.nulls(n, part.column(0).type), pa.nulls(n, pa.bool_())] + [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.float64())] * 2,
                     _ROW,
                 )
 
     return run
 
 
+def _places(shape: Shape, u, w) -> np.ndarray:
+    """The buckets of pairs of any slice."""
+    mixed = mix(u)
+    k = (mixed % U64(shape.slices)).astype(np.int64)
+    return shape.place(u, w, mixed, k).astype(np.uint64)
+
+
 def _looked_up(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """A bucket's words and the tokens that ask for them -> sums by text."""
     h = np.frombuffer(b"".join(words["h"]), np.uint64)
@@ -746,8 +775,8 @@ def language_scores(
     inner: int = 2,
     parameters: tuple[float, float, float, float] | None = None,
     table_share: float = 2e-6,
-    bucket_tokens: int = 800_000,
-    slices: int = 4,
+    bucket_tokens: int = 1_200_000,
+    slices: int = 2,
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -794,7 +823,7 @@ def language_scores(
     head_h, head_c = np.frombuffer(b"".join(r.h for r in head) + END.tobytes(), np.uint64), np.frombuffer(b"".join(r.c for r in head) + np.int64(ends).tobytes(), np.int64)
     o = np.argsort(head_h)
     hot = max(1000, floor, min(math.ceil(HOT * tokens), bucket_tokens // 4))
-    buckets = max(3 * slices, math.ceil(tokens / bucket_tokens))
+    buckets = slices * max(3, math.ceil(tokens / bucket_tokens / slices))
     shape = Shape(head_h[o], head_c[o], tokens, types, ends, buckets, word_buckets, slices, hot)
     sent = spark.sparkContext.broadcast(shape)
     parents, scoring = sampled(numbered, shape, sent, burn_in, samples, inner, seed, parameters)
@@ -802,18 +831,22 @@ def language_scores(
 
     row = f"bucket int, grp long, data binary, id {kind}, held_out boolean, r long, n_tokens long, n_known long, base_score double, score double"
     counted = stage_table(numbered.mapInArrow(_counted(sent, kept), row), "counted")
-    asked = counted.where("bucket is not null").select("bucket", "grp", "data")
+    asked = counted.where(F.col("bucket") < word_buckets).select("bucket", "grp", "data")
     parts = stage_table(words.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_looked_up, "grp long, data binary"), "parts")
+    drop_table(words)
+    asks = counted.where(F.col("bucket") >= word_buckets).select((F.col("bucket") - word_buckets).alias("key"), F.col("grp").cast("int").alias("other"), F.col("data").alias("a"))
+    answers = stage_table(parents.groupBy("key").cogroup(asks.groupBy("key")).applyInPandas(_answers(None), _PACKED), "answers")
+    drop_table(parents)
+    rows = stage_table(counted.where("bucket is null").select("grp", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score"), "rows")
+    drop_table(counted)
     for k in range(slices):
         free_shuffles(spark)
-        asks = numbered.mapInArrow(_asked(sent, k), _PACKED)
-        answers = parents.groupBy("key").cogroup(asks.groupBy("key")).applyInPandas(_answers(None), _PACKED)
+        mine = answers.where(F.pmod("key", F.lit(slices)) == k)
         listed = numbered.mapInArrow(_listed(sent, kept, k), _TOKENS)
-        scores = listed.groupBy("key").cogroup(answers.groupBy("key")).applyInPandas(_token_scores(sent, kept), "grp long, data binary")
+        scores = listed.groupBy("key").cogroup(mine.groupBy("key")).applyInPandas(_token_scores(sent, kept), "grp long, data binary")
         parts = parts.unionByName(stage_table(scores.groupBy("grp").applyInPandas(_summed_up, "grp long, data binary"), "scores"))
-    for x in (numbered, words, parents):
+    for x in (numbered, answers):
         drop_table(x)
     free_shuffles(spark)
-    rows = counted.where("bucket is null").select("grp", "id", "held_out", "r", "n_tokens", "n_known", "base_score", "score")
     out = rows.groupBy("grp").cogroup(parts.groupBy("grp")).applyInPandas(_added, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -21,7 +21,8 @@ import numpy as np
 EXACT = 1024
 #: A restaurant's dishes are drawn in at most this many steps a sweep; dishes
 #: of one step do not see each other's change.
-STEPS = 64
+STEPS = 16
+_FEW = 24
 
 _FINE = 64  # seatings are counted by (n, t) up to here, for the parameters
 _BINS = 512
@@ -53,14 +54,30 @@ def draw(n, rest, base, theta: float, d: float, rng) -> np.ndarray:
     todo = np.flatnonzero(n > 1)
     if not len(todo):
         return out
-    table, wide = log_stirling(d), int(n.max())
-    rows = max(1, (1 << 19) // wide)
-    for k in range(0, len(todo), rows):
-        i = todo[k : k + rows]
-        step = np.log(theta + d * (rest[i][:, None] + np.arange(wide))) + np.log(base[i])[:, None]
-        weight = table[n[i], 1 : wide + 1] + np.cumsum(step, axis=1)
-        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
-        out[i] = 1 + (weight < rng.random(len(i))[:, None] * weight[:, -1:]).sum(1)
+    wide = int(n.max())
+    if wide == 2:
+        x = (theta + d * (rest[todo] + 1)) * base[todo]
+        out[todo] += rng.random(len(todo)) * (x + 1 - d) < x
+        return out
+    table = log_stirling(d)
+    # Few tables first; what lies beyond them is looked at where it matters.
+    for most in (_FEW, wide) if wide > _FEW else (wide,):
+        rows, later = max(1, (1 << 19) // most), []
+        for k in range(0, len(todo), rows):
+            i = todo[k : k + rows]
+            step = np.log(theta + d * (rest[i][:, None] + np.arange(most)))
+            step += np.log(base[i])[:, None]
+            weight = np.cumsum(step, axis=1)
+            weight += table[n[i], 1 : most + 1]
+            weight -= weight.max(1, keepdims=True)
+            if most < wide:
+                # Below one part in 10**12 of the likeliest, and falling.
+                done = (weight[:, -1] < -28) & (weight[:, -1] < weight[:, -2] - 0.5) | (n[i] <= most)
+                later.append(i[~done])
+                i, weight = i[done], weight[done]
+            weight = np.cumsum(np.exp(weight), axis=1)
+            out[i] = 1 + (weight < rng.random(len(i))[:, None] * weight[:, -1:]).sum(1)
+        todo = np.concatenate(later) if later else todo[:0]
     return np.minimum(out, n)
 
 
