@@ -147,7 +147,8 @@ def words_of(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) ->
     total[0] = 0
     np.cumsum(_BYTE_LOWER[data] * up[:n], out=total[1:])
     h = mix((total[z] - total[a]) * down[a])
-    return h, np.searchsorted(starts, a, side="right") - 1, a
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(a, starts)))
+    return h, doc, a
 
 
 def chain(h: np.ndarray, n: int) -> np.ndarray:

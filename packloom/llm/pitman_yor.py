@@ -179,6 +179,7 @@ class Shape:
         h, n = np.append(head_h[hot], START), np.append(head_c[hot], ends)
         o = np.argsort(h)
         self.hot_h, self.hot_n = h[o], n[o]
+        self.head_log = np.log10(head_c + 0.5)
         self.base_norm = math.log10(tokens + 0.5 * (types + 1))
 
     def place(self, u, w, mixed, k: int):
@@ -619,13 +620,16 @@ def _pair_logs(shape: Shape, scoring: Scoring, u, w, n, bases, key: int) -> np.n
     number = np.where(is_hot, m + spread, np.where(cold, at, m + hot))
     size = np.concatenate((customers, shape.hot_n, [0]))
     own = r[many] < m
-    total = 0.0
+    total, now = 0.0, None
     t = seen.astype(np.int64)
     where = np.flatnonzero(seen)[many]
     for s, (theta, d, hot_tables) in enumerate(scoring.samples):
         rng = np.random.default_rng((scoring.seed, s, key, 2))
-        tables = np.concatenate((ones + np.bincount(r[many][own], minlength=m), hot_tables, [0]))
-        t[where] = seating.sweeps(r[many], n[where], tables, bases[where, s], theta, d, rng, scoring.inner, fixed=m)
+        own_tables = np.bincount(r[many][own], now[own] if s else None, minlength=m).astype(np.int64)
+        tables = np.concatenate((ones + own_tables, hot_tables, [0]))
+        # The chain goes on from sample to sample.
+        now = seating.sweeps(r[many], n[where], tables, bases[where, s], theta, d, rng, 1 if s else scoring.inner, fixed=m, before=now)
+        t[where] = now
         total = total + (n - d * t + (theta + d * tables[number]) * bases[:, s]) / (theta + size[number])
     return np.log10(total / len(scoring.samples))
 
@@ -693,8 +697,7 @@ def _counted(sent, scoring):
                     base = np.full(n, math.log10(shape.ends + 0.5))
                     known = np.full(n, int(shape.ends > 0))
                     at, head = _found_often(shape.head_h, h)
-                    c = shape.head_c[at[head]]
-                    base += np.bincount(doc[head], np.log10(c + 0.5), minlength=n)
+                    base += np.bincount(doc[head], shape.head_log[at[head]], minlength=n)
                     known += np.bincount(doc[head], minlength=n)
                     count = np.bincount(doc, minlength=n) + 1
                     rows.append((count, known, base - count * shape.base_norm, score))

@@ -17,7 +17,8 @@ import math
 
 import numpy as np
 
-#: Dishes of up to this many customers are drawn from the exact law.
+#: Dishes of up to this many customers are drawn from the exact law; for more,
+#: the Stirling numbers are approximate.
 EXACT = 1024
 #: A restaurant's dishes are drawn in at most this many steps a sweep; dishes
 #: of one step do not see each other's change.
@@ -81,28 +82,83 @@ def draw(n, rest, base, theta: float, d: float, rng) -> np.ndarray:
     return np.minimum(out, n)
 
 
+@functools.lru_cache(48)
+def _saddle(d: float):
+    """log(n / t), log y and log b at the saddle point of
+    S_d(n, t) = n! / (t! d^t) [z^n] (1 - (1 - z)^d)^t, where y is 1 - z."""
+    y = np.exp(np.linspace(-60, -1e-7, 6000))
+    rho = d * y ** (d - 1) * (1 - y) / -np.expm1(d * np.log(y))
+    # z d rho / dz, per table.
+    b = (1 - y) * -np.gradient(rho, y)
+    return np.log(rho[::-1]), np.log(y[::-1]), np.log(np.maximum(b[::-1], 1e-300))
+
+
+def log_gamma(x):
+    z = x + 7
+    shift = np.log(x) + np.log(x + 1) + np.log(x + 2) + np.log(x + 3) + np.log(x + 4) + np.log(x + 5) + np.log(x + 6)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - shift
+
+
+def _by_saddle(n, t, d: float):
+    at, log_y, log_b = _saddle(d)
+    rho = np.log(np.maximum(n / t, 1 + 1e-6))
+    y, b = np.interp(rho, at, log_y), np.interp(rho, at, log_b)
+    f = t * np.log(-np.expm1(d * y)) - n * np.log(-np.expm1(y)) - 0.5 * (np.log(2 * np.pi * t) + b)
+    return f - log_gamma(t + 1.0) - t * math.log(d)
+
+
+@functools.lru_cache(48)
+def _bend(d: float) -> np.ndarray:
+    """How far log S_d(EXACT, t) / S_d(EXACT, 1) is from its limit for many customers."""
+    t = np.arange(1.0, EXACT + 1)
+    row = log_stirling(d)[EXACT, 1:]
+    return row - row[0] + log_gamma(t) + (t - 1) * math.log(d)
+
+
+def log_stirling_near(n, t, d: float):
+    """log S_d(n, t) / S_d(n, 1) for n >= ``EXACT``. It depends on t / n^d
+    alone while t is far below n, so it follows from the last exact row; for
+    more tables by the saddle point, where the two meet at t / n^d = 200 / EXACT^d."""
+    near = lambda t, s: np.interp(s, np.arange(1, EXACT + 1), _bend(d)) - log_gamma(t) - (t - 1) * math.log(d)
+    scale = (EXACT / n) ** d
+    meet = np.minimum(200 / scale, n)
+    return np.where(t <= meet, near(t, t * scale), _by_saddle(n, t, d) - _by_saddle(n, meet, d) + near(meet, meet * scale))
+
+
 def crowd(n, rest, base, theta: float, d: float, rng) -> np.ndarray:
-    """Tables of dishes with many customers: they sit down in order, in groups
-    of a twentieth of those seated."""
-    t = (n > 0).astype(np.int64)
-    seated = t.copy()
-    active = np.flatnonzero(n > 1)
-    while len(active):
-        step = np.minimum(np.maximum(seated[active] // 20, 1), n[active] - seated[active])
-        new = (theta + d * (rest[active] + t[active])) * base[active]
-        t[active] += rng.binomial(step, new / (new + seated[active] - d * t[active]))
-        seated[active] += step
-        active = active[seated[active] < n[active]]
-    return t
+    """``draw`` for many customers: numbers of tables are drawn by ranges, one
+    number each up to 32, then 5 % wide."""
+    out = np.minimum(n, 1).astype(np.int64)
+    todo = np.flatnonzero(n > 1)
+    if not len(todo):
+        return out
+    low = [*range(1, 33)]
+    while low[-1] < n.max():
+        low.append(int(low[-1] * 1.05) + 1)
+    low = np.array(low, np.int64)
+    width = np.diff(low)
+    low = low[:-1]
+    mid = low + (width - 1) / 2
+    for k in range(0, len(todo), 1024):
+        i = todo[k : k + 1024]
+        t = np.minimum(mid, n[i][:, None].astype(float))
+        x = theta / d + rest[i][:, None]
+        log = log_stirling_near(n[i][:, None].astype(float), t, d)
+        log += log_gamma(x + t) - log_gamma(x) + t * (math.log(d) + np.log(base[i])[:, None])
+        log += np.log(width) + np.where(low > n[i][:, None], -np.inf, 0.0)
+        weight = np.cumsum(np.exp(log - log.max(1, keepdims=True)), axis=1)
+        at = (weight < rng.random(len(i))[:, None] * weight[:, -1:]).sum(1)
+        out[i] = np.minimum(low[at] + (rng.random(len(i)) * width[at]).astype(np.int64), n[i])
+    return out
 
 
-def sweeps(restaurant, n, tables, base, theta: float, d: float, rng, rounds: int, fixed: int | None = None):
-    """``rounds`` sweeps over dishes (restaurant number, n > 1 customers), all
-    at one table before. ``tables`` counts each restaurant's tables, these
+def sweeps(restaurant, n, tables, base, theta: float, d: float, rng, rounds: int, fixed: int | None = None, before=None):
+    """``rounds`` sweeps over dishes (restaurant number, n > 1 customers), at
+    ``before`` tables, or at one table each. ``tables`` counts each restaurant's tables, these
     dishes' included, and is updated, except from number ``fixed`` on:
     restaurants spread over many tasks keep the count of the round before.
     Returns t."""
-    t = np.ones(len(n), np.int64)
+    t = np.ones(len(n), np.int64) if before is None else before.copy()
     if not len(n):
         return t
     fixed = len(tables) if fixed is None else fixed
