@@ -4,7 +4,7 @@ from itertools import product
 import numpy as np
 
 from packloom.llm.quality import _isotonic, quality_scores, statistics
-from packloom.llm.toxicity import _SPAN, Crf, _mean_gradient, toxicity_scores
+from packloom.llm.toxicity import _SPAN, Crf, _mean_loss, toxicity_scores
 
 
 def auc(score, y):
@@ -29,7 +29,7 @@ def test_held_out_quality(spark):
 
 def test_held_out_toxicity(spark):
     score, got = held_out_auc(spark, "/root/testdata/sf0.01", toxicity_scores, "toxic")
-    assert score > 0.75
+    assert score > 0.9
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in got.itertuples())
 
 
@@ -69,6 +69,11 @@ def test_marginals_match_enumeration():
             hit += s * np.array(y)
         at = [k for k, v in enumerate(ids) if v]
         assert np.allclose(crf.marginals(len(words), at, [ids[k] for k in at]), hit[at] / total)
+        tags = crf.tagged(len(words), at, [ids[k] for k in at])
+        p = hit / total
+        assert all(np.isclose(p[k], v) and v > 0.5 for k, v in tags.items())
+        # Every token over one half that touches a tagged one is tagged.
+        assert all(k in tags for k in range(len(words)) if p[k] > 0.5 and (ids[k] or k - 1 in tags or k + 1 in tags))
 
 
 def test_gradient_matches_differences():
@@ -95,7 +100,7 @@ def test_equal_windows_weigh_what_they_count(spark):
     rows = [(bytearray(i.astype(np.int32).tobytes()), int(((v * r) << np.arange(_SPAN)).sum()), int(m), int(w)) for i, v, r, m, w in zip(ids, y, real, n, weight)]
     df = spark.createDataFrame(rows, "ids binary, y long, n int, weight long")
     for on_driver in (100, 0):
-        assert np.allclose(_mean_gradient(crf, df, on_driver)(theta), want)
+        assert np.allclose(_mean_loss(crf, df, on_driver)(theta)[1], want)
 
 
 def test_words_late_in_long_texts_are_learnt(spark):
@@ -107,3 +112,40 @@ def test_words_late_in_long_texts_are_learnt(spark):
     got = toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
     late = got[got["doc_id"] >= 1000]
     assert late["spans"].map(len).eq(1).all() and late["score"].min() > got[(got["doc_id"] % 4 == 2) & (got["doc_id"] < 120)]["score"].max()
+
+
+def test_scores_match_a_plain_reading_of_the_model(spark):
+    """Scores and spans again from the trained parameters, by forward-backward
+    over all tokens."""
+    from packloom.llm.toxicity import _tokens, fit
+
+    rng = np.random.default_rng(4)
+    text = lambda bad: " ".join(rng.choice(["zorg", "blah", "Über", "and", "so", "on"], int(rng.integers(1, 70)), p=[0.2 * bad, 0.1 * bad, 0.2, 0.3 - 0.1 * bad, 0.3 - 0.1 * bad, 0.2 - 0.1 * bad]))
+    rows = [(k, text(k % 3 == 0), int(k % 3 == 0)) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(df.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").selectExpr("text", "toxic as label"))
+    got = toxicity_scores(df.select("doc_id", "text"), df.select("doc_id", "toxic")).toPandas().set_index("doc_id")
+    emit, trans = model._parts(model.theta)
+    for d, t, _ in rows:
+        words = _tokens(t)
+        ids = [model.index.get(w, 0) for w in words]
+        a, z = np.zeros((len(ids), 2)), np.zeros((len(ids), 2))
+        for k, v in enumerate(ids):
+            a[k] = [0, emit[v]] if k == 0 else np.logaddexp(a[k - 1][0] + trans[0], a[k - 1][1] + trans[1]) + [0, emit[v]]
+        for k in range(len(ids) - 2, -1, -1):
+            z[k] = np.logaddexp(trans[:, 0] + z[k + 1][0], trans[:, 1] + emit[ids[k + 1]] + z[k + 1][1])
+        p = 1 / (1 + np.exp((a + z)[:, 0] - (a + z)[:, 1]))
+        at = [k for k, v in enumerate(ids) if v]
+        top = np.clip(max(p[at]), 1e-6, 1 - 1e-6) if at else 0
+        want = model.probability(np.log(top / (1 - top)) if at else -12.0, p[at].sum())
+        assert np.isclose(got.loc[d, "score"], want, rtol=1e-6)
+        spans = [t[s["start"] : s["end"]].lower() for s in got.loc[d, "spans"]]
+        assert spans == [words[k] for k in range(len(ids)) if p[k] > 0.5]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(k, "bad zorg" if k % 2 else "fine day", 1, "x", 0.5) for k in range(12)], "doc_id long, text string, label int, id string, score double")
+    labels = spark.createDataFrame([(k, k % 2, k % 2, "t") for k in range(12)], "doc_id long, toxic int, quality int, text string")
+    for f in (quality_scores, toxicity_scores):
+        got = f(docs, labels)
+        assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == 12
