@@ -4,14 +4,17 @@ The inverted index covers the test items; every passage of every training
 document is a query. Term weights are divided by the score of the item against
 itself, so a score is the share of the item that the passage holds and one
 threshold serves all items. Items are kept in blocks of similar length, each
-with its own upper bounds. A passage that the bounds cannot lift to the
+with its own upper bounds; a passage is as long as the item's length asks for,
+whatever block it is in. A passage that the bounds cannot lift to the
 threshold in a block is passed over there - the first test of WAND, done for
 all passages of a batch at once, with the terms that together never decide
 (at most half the threshold in any item) left out and charged at their most -
 and the rest go through block-max WAND proper. What is retrieved must overlap
 both the question and the answer.
 
-The index is broadcast, so items come in blocks of bounded text.
+The index is broadcast, so items come in parts of bounded text. Document
+frequencies, the number of items and their mean length are those of the whole
+benchmark, however it is cut.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, chain, text_chunks, words_of
+from .common import MARKS, chain, stage_table, text_chunks, words_of
 
 BLOCK = 16
 
@@ -58,6 +62,12 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def passage_words(n: int) -> int:
+    """Words of the passages that items of n words are looked for in: twice the
+    item's, rounded up by a quarter at most."""
+    return max(16, 2 * math.ceil(1.25 ** math.ceil(math.log(n) / math.log(1.25) - 1e-9)))
+
+
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(chain(h, min(n, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
@@ -69,7 +79,7 @@ class Block:
     def __init__(self, items: list[tuple[Item, np.ndarray, np.ndarray]], n_terms: int, threshold: float):
         self.threshold = threshold
         self.items = [x[0] for x in items]
-        self.window = max(16, 2 * max(len(i.words) for i in self.items))
+        self.window = passage_words(len(self.items[0].words))  # all alike
         lists: dict[int, list[tuple[int, float]]] = {}
         for k, (_, terms, weights) in enumerate(items):
             for t, x in zip(terms.tolist(), weights.tolist(), strict=True):
@@ -141,9 +151,11 @@ class Block:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, run: int, k1: float = 1.2, b: float = 0.75, per_block: int = 8):
+    """``whole``: (items, mean words, how many items hold each word) of a
+    benchmark of which ``items`` are a part; None: they are all of it."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, run: int, k1: float = 1.2, b: float = 0.75, per_block: int = 8, whole: tuple[int, float, dict[int, int]] | None = None):
         self.threshold, self.overlap, self.run = threshold, overlap, run
-        self.nearly_all = (1 + overlap) / 2
         found = []
         for item_id, text in sorted(items):
             h = _hashes(text)
@@ -154,14 +166,19 @@ class Index:
         mean = sum(len(i.words) for i in found) / max(n, 1)
         counts = [np.unique(i.words, return_counts=True) for i in found]
         self.terms, df = np.unique(np.concatenate([c[0] for c in counts]) if n else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        if whole is not None:
+            mean, df = whole[1], np.array([whole[2][t] for t in self.terms.tolist()], float)
+        idf = np.log(1 + ((n if whole is None else whole[0]) - df + 0.5) / (df + 0.5))
         weighed = []
         for item, (words, tf) in zip(found, counts, strict=True):
             at = np.searchsorted(self.terms, words)
             w = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(item.words) / mean))
             weighed.append((item, at, w / w.sum()))
         weighed.sort(key=lambda x: (len(x[0].words), x[0].item_id))
-        self.blocks = [Block(weighed[i : i + per_block], len(self.terms), threshold) for i in range(0, n, per_block)]
+        self.blocks = []
+        for _, alike in groupby(weighed, key=lambda x: passage_words(len(x[0].words))):
+            alike = list(alike)
+            self.blocks += [Block(alike[i : i + per_block], len(self.terms), threshold) for i in range(0, len(alike), per_block)]
         # Whether a term can be among the sorted terms, by its top bits.
         self.bits = max(1, int(math.log2(len(self.terms) + 1)) + 3)
         self.maybe = np.zeros(1 << self.bits, bool)
@@ -215,20 +232,41 @@ class Index:
                     for n, score in block.search(terms.tolist()):
                         item = block.items[n]
                         q, ans = self.verify(item, h[a:z])
-                        if q >= self.overlap and (ans >= self.overlap or q >= self.nearly_all):
+                        if q >= self.overlap and ans >= self.overlap:
                             old = out[owner[k]].get(item.item_id)
                             if old is None or (score, q, ans) > old:
                                 out[owner[k]][item.item_id] = (score, q, ans)
             yield from out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int):
+def _words_of_items(batches):
+    """Item texts -> (h, words): a row for each distinct word of an item, and
+    one with its number of words."""
+    for b in batches:
+        h = [_hashes(t) for t in b.column(0).to_pylist()]
+        each = [np.unique(x) for x in h]
+        cols = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64), np.array([len(x) for x in h], np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), none(len(cols[0]))], ["h", "words"])
+        yield pa.RecordBatch.from_arrays([none(len(h)), pa.array(cols[1])], ["h", "words"])
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int, threshold: float, overlap: float, run: int):
+    """The benchmark's index, or those of parts of about ``most_chars``."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item_id is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(2 * chars / most_chars)) if chars > most_chars else 1
+    if chars <= most_chars:
+        yield Index([(r.item_id, r.text) for r in items.toLocalIterator()], threshold, overlap, run)
+        return
+    n = math.ceil(2 * chars / most_chars)
+    words = lambda part: part.select("text").mapInArrow(_words_of_items, "h long, words long")
+    counts = stage_table(words(items).groupBy("h").agg(F.count("*").alias("df"), F.count_if(F.col("words") > 0).alias("items"), F.sum("words").alias("words")), "benchmark")
+    size = counts.where("h is null").first()
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.toLocalIterator()]
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        own = words(part).where("h is not null").select("h").distinct().join(counts, "h")
+        df = {r.h % 2**64: r.df for r in own.select("h", "df").toLocalIterator()}
+        yield Index([(r.item_id, r.text) for r in part.toLocalIterator()], threshold, overlap, run, whole=(size["items"], size["words"] / max(size["items"], 1), df))
 
 
 def leaks(
@@ -246,21 +284,21 @@ def leaks(
     """Documents that hold a benchmark item: id_col, item_id long, score,
     question_overlap, answer_overlap (double, of the best passage).
 
-    A passage is a window of twice the words of the longest item of the block,
-    half of which the next one shares, so every item fits into one whole. A passage
-    is retrieved at ``threshold`` of the item's own BM25 score, and counts if
+    A passage is a window of ``passage_words`` words, half of which the next one
+    shares, so every item fits into one whole. A passage is retrieved at ``threshold`` of the item's own BM25 score, and counts if
     it holds ``overlap`` of the runs of ``run`` words of question and answer.
 
     Null or empty texts match nothing; items without words are skipped; null
     item ids too. Null document ids are reported as null. Repeated rows are
-    repeated. Benchmarks of more than ``most_chars`` are searched in blocks.
-    Empty tables: no rows.
+    repeated. Benchmarks of more than ``most_chars`` are searched in parts, with
+    the same results. Other columns, whatever their names, are ignored. Empty
+    tables: no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     out = None
-    for items in _blocks(benchmark, item_col, item_text_col, most_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, threshold, overlap, run))
+    for part in _indexes(benchmark, item_col, item_text_col, most_chars, threshold, overlap, run):
+        index = docs.sparkSession.sparkContext.broadcast(part)
 
         def found(batches, index=index):
             for b in batches:
@@ -277,10 +315,12 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.5, run: int = 3, most_chars: int = 16_000_000) -> DataFrame:
-    """``docs`` with all columns, less the rows that ``leaks`` would report."""
+    """``docs`` with all columns, less the rows that ``leaks`` would report.
+    Rows with null or empty texts stay, and those without an id are judged like
+    others. Repeated rows go or stay together. Empty tables: all rows stay."""
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text_col, most_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, threshold, overlap, run))
+    for part in _indexes(benchmark, item_col, item_text_col, most_chars, threshold, overlap, run):
+        index = docs.sparkSession.sparkContext.broadcast(part)
 
         def clean(batches, index=index):
             for b in batches:

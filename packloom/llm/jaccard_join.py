@@ -1,8 +1,8 @@
 """Set-similarity self-join on word shingles: grouped prefix join.
 
 The method (a GroupJoin): shingles get one global order; two sets of Jaccard
-similarity t or more must share ``SHARED`` shingles among the first
-``n - ceil(t n) + SHARED`` of each (one would do, but unrelated texts share one
+similarity t or more must share three shingles among the first
+``n - ceil(t n) + 3`` of each (one would do, but unrelated texts share one
 by chance all too often as a corpus grows). Documents with identical prefixes and sizes
 collapse into one group, pairs of groups are filtered by size and position,
 then groups expand into members and full sets are compared.
@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chain, stage_table, text_chunks, words_of
+from .common import U64, chain, drop_table, free_shuffles, stage_table, text_chunks, words_of
 from .components import components
 
 
-#: Shingles that matching sets must share in their prefixes.
-SHARED = 3
+def _shared(t_num: int, t_den: int) -> int:
+    """Shingles that matching sets are asked to share in their prefixes: three,
+    or as many as any two different sets that match have in common, if less."""
+    return min(3, max(1, -(-t_num // max(t_den - t_num, 1))))
 
 
 def _sets(column: pa.Array, n: int):
@@ -64,9 +66,9 @@ def _need(n, t_num: int, t_den: int):
 
 
 def _prefix_length(n, t_num: int, t_den: int):
-    """Any two matching sets share ``SHARED`` shingles in prefixes this long,
+    """Any two matching sets share ``_shared`` shingles in prefixes this long,
     save sets that small that only equal ones match."""
-    return n - _need(n, t_num, t_den) + SHARED
+    return n - _need(n, t_num, t_den) + _shared(t_num, t_den)
 
 
 def _fingerprint(x: np.ndarray) -> int:
@@ -253,7 +255,7 @@ def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarr
     with weights. Lists of two or three groups give every pair a weight of
     one. Of a list of up to ``long_list`` groups a spanning forest of the pairs
     that sizes and positions allow is kept, of a longer one a chain by size;
-    they count as ``SHARED``, being enough on their own."""
+    they count as all that is asked for, being enough on their own."""
     o = np.lexsort((g, n, h))
     h, g, n, at = h[o], g[o], n[o].astype(np.int64), at[o].astype(np.int64)
     new = np.ones(len(h), bool)
@@ -279,7 +281,7 @@ def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarr
             i = i[n[i] * t_den >= t_num * n[i + 1]]
             us.append(g[i])
             vs.append(g[i + 1])
-            ws.append(np.full(len(i), SHARED))
+            ws.append(np.full(len(i), _shared(t_num, t_den)))
             continue
         i, j = np.triu_indices(k, 1)
         ok = keep(a + i, a + j)
@@ -297,7 +299,7 @@ def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarr
             i, j = np.array(kept, np.int64).T
         us.append(g[a + i])
         vs.append(g[a + j])
-        ws.append(np.full(len(i), SHARED))
+        ws.append(np.full(len(i), _shared(t_num, t_den)))
     return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
 
 
@@ -450,11 +452,11 @@ def jaccard_join(
     entries = grouped.select("n", "grp", "prefix")
     pairs = entries.mapInArrow(_postings(hubs, buckets), "bucket int, e binary")
     pairs = pairs.groupBy("bucket").applyInPandas(_candidates(t_num, t_den, long_list), "u long, v long, w long")
-    pairs = pairs.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= SHARED).select("u", "v")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= _shared(t_num, t_den)).select("u", "v")
     near = components(pairs.union(entries.mapInArrow(_hubs(hubs, t_num, t_den), "u long, v long")), in_one_task)
 
     # Expand groups into classes; a group of several classes is itself a candidate.
-    classes = some.groupBy("fp").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"))
+    classes = some.groupBy("fp").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("size"))
     several = groups.groupBy("grp").count().where("count > 1").select("grp")
     cands = near.select(F.col("node").alias("grp"), "root").join(several, "grp", "full").select("grp", F.coalesce("root", "grp").alias("root"))
     cands = stage_table(groups.join(cands, "grp").join(classes, "fp").where("first is not null").select("fp", "root", "first", "n"), "cands")
@@ -469,9 +471,21 @@ def jaccard_join(
     label = linked.withColumnRenamed("node", "fp").join(classes.select("fp", "first"), "fp")
     least = label.groupBy("root").agg(F.min("first").alias("least"))
     label = label.join(least, "root").select("fp", "least")
-    label = classes.select("fp", "first").join(label, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
-    out = rows.select("id", "n_shingles", "fp").join(label, "fp", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    label = classes.select("fp", "first", "size").join(label, "fp", "left").select("fp", "size", F.coalesce("least", "first").alias("least"))
+    label = stage_table(label, "labels")
+    for table in (grouped, cands):
+        drop_table(table)
+    free_shuffles(spark)
+    # Rows of the large classes (a bounded number of them) and rows without a
+    # set, which have no class, are dealt out evenly.
+    floor = max(1000, math.ceil(rows.count() * 1e-4))
+    large = label.where(F.col("size") >= floor).select("fp", F.col("least").alias("of_large"), F.lit(True).alias("is_large"))
+    out = rows.select("id", "n_shingles", "fp").join(F.broadcast(large), "fp", "left")
+    key = F.when(F.col("fp").isNotNull() & F.col("is_large").isNull(), F.struct("fp", F.lit(None).cast("long").alias("spread")))
+    out = out.withColumn("key", F.coalesce(key, F.struct(F.lit(0).cast("long").alias("fp"), F.xxhash64("id").alias("spread"))))
+    others = label.where(F.col("size") < floor).select(F.struct("fp", F.lit(None).cast("long").alias("spread")).alias("key"), "least")
+    out = out.join(others.withColumnRenamed("key", "key2"), F.col("key").eqNullSafe(F.col("key2")), "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("of_large", "least", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

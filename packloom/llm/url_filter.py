@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_table, free_shuffles, stage_table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+# Scripts, styles and comments, to their end or the page's.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_LINK = r"""(?i)<(?:a|area)\s[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -44,16 +46,17 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """(src, dst, pages): how many pages of src link to another host dst."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER)))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace(F.col(html), _UNSEEN, " "), F.lit(_LINK), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER)))
     rows = pages.where(F.col(host) != "").select(F.col(host).alias("src"), F.explode(found).alias("dst"))
     return rows.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 500, tolerance: float = 1e-6) -> DataFrame:
     """(kind, host, rank) from seeds (kind, host, seed; each kind's seeds sum to
     1) over edges (kind, src, dst, share; shares of a src sum to 1). Rank that
-    reaches hosts without edges goes back to the seeds. Rounds end early when
-    nothing moves by more than ``tolerance`` in all."""
+    reaches hosts without edges goes back to the seeds. Rounds end when
+    no more than ``tolerance`` moves in all; ranks that have not settled after
+    ``rounds`` are an error, not a result."""
     if edges.isEmpty():
         return seeds.select("kind", "host", F.col("seed").alias("rank"))
     out = edges.select("kind", F.col("src").alias("host")).distinct().withColumn("leads", F.lit(True))
@@ -66,12 +69,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         for kind, x in lost.items():
             back = F.when(F.col("kind") == kind, F.lit(float(x))).otherwise(back)
         rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back * F.col("seed"))
-        new = stage_table(state.withColumnRenamed("rank", "old").join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "leads", rank.alias("rank"), "old"), "rank")
+        new = stage_table(state.select("kind", "host", "seed", "leads", F.col("rank").alias("old")).join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "leads", rank.alias("rank"), "old"), "rank")
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        state = new.drop("old")
+        drop_table(state)
+        free_shuffles(state.sparkSession)
+        state = new
         if change < tolerance:
-            break
-    return state.select("kind", "host", "rank")
+            return state.select("kind", "host", "rank")
+    raise RuntimeError(f"ranks still move by {change} after {rounds} rounds")
 
 
 def url_verdicts(
@@ -80,7 +85,7 @@ def url_verdicts(
     seed_share: float = 0.5,
     threshold: float = 1.0,
     damping: float = 0.85,
-    rounds: int = 20,
+    rounds: int = 500,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",

@@ -1,9 +1,11 @@
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 
-from packloom.llm.decontamination import Index, _hashes, leaks, split_item, without_leaks
+from packloom.llm.decontamination import Index, leaks, passage_words, split_item, without_leaks
 
 
 def items(spark, sf):
@@ -31,22 +33,47 @@ def test_wand_finds_all_above_threshold(spark, sf):
     assert found > 100
 
 
-def brute(index, texts):
-    """Every passage against every item of every block, without bounds."""
+WORD = re.compile(rb"[^\x09-\x0d\x20!-/:-@\[-`{-~]+")
+
+
+def words(text):
+    return WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+
+
+def share(part, passage, whole):
+    """How many of the part's runs of three words the passage has."""
+    w = words(part)
+    if not w:
+        return 1.0
+    runs = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+    want = runs(w, min(3, len(w)))
+    have = set().union(*(runs(passage, n) for n in ({min(3, len(whole))} if len(want) > 1 else (1, 2, 3))))
+    return len(want & have) / len(want)
+
+
+def brute(bench, texts, threshold=0.5, overlap=0.5):
+    """BM25 and overlap by their definitions, every passage against every item."""
+    all_words = {i: words(t) for i, t in bench if words(t)}
+    df = Counter(w for ws in all_words.values() for w in set(ws))
+    n, mean = len(all_words), sum(map(len, all_words.values())) / max(len(all_words), 1)
+
+    def weights(ws):
+        tf = Counter(ws)
+        return {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in tf.items()}
+
     out = []
     for text in texts:
-        h, found = _hashes(text or ""), set()
-        for block in index.blocks:
-            size, stride = block.window, block.window // 2
-            for a in range(0, max(len(h) - size, 0) + stride, stride):
-                p = h[a : a + size]
-                terms = np.unique(index.locate(p))
-                for k, item in enumerate(block.items):
-                    score = sum(dict(zip(block.docs[t], block.weights[t])).get(k, 0) for t in terms.tolist() if t in block.docs)
-                    if score >= 0.5 - 1e-9:
-                        q, ans = index.verify(item, p)
-                        if q >= 0.5 and (ans >= 0.5 or q >= 0.75):
-                            found.add(item.item_id)
+        h, found = words(text or ""), set()
+        for i, t in bench:
+            if i not in all_words:
+                continue
+            weigh = weights(all_words[i])
+            q, a = split_item(t)
+            size = passage_words(len(all_words[i]))
+            for at in range(0, max(len(h) - size, 0) + size // 2, size // 2):
+                p = h[at : at + size]
+                if sum(weigh.get(w, 0) for w in set(p)) / sum(weigh.values()) >= threshold - 1e-9 and share(q, p, all_words[i]) >= overlap and share(a, p, all_words[i]) >= overlap:
+                    found.add(i)
         out.append(found)
     return out
 
@@ -58,7 +85,7 @@ def test_passages_match_brute_force_and_planted_items(spark, sf):
     planted = [f"{d[:400]} {bench[k][1].replace(",", " ;")} {d[400:800]}" for k, d in enumerate(docs[:10])]
     texts = [*docs[:15], *planted, None, "", "!!"]
     got = [set(m) for m in index.matches(pa.array(texts))]
-    assert got == brute(index, texts)
+    assert got == brute(bench, texts)
     assert all(bench[k][0] in got[15 + k] for k in range(10))
 
 
@@ -68,7 +95,9 @@ def test_tables(spark, sf):
     rows = [(1, text, "x"), (1, text, "x"), (2, "clean words only", "y"), (3, None, None), (None, text, "z"), (4, "w " * 100_000 + text, "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     got = sorted((-1 if r.doc_id is None else r.doc_id) for r in leaks(docs, bench).collect())
-    assert got == [-1, 1, 1, 4] == sorted((-1 if r.doc_id is None else r.doc_id) for r in leaks(docs, bench, most_chars=500).collect())
+    assert got == [-1, 1, 1, 4]
+    rows = lambda **more: sorted((r.doc_id or -1, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in leaks(docs, bench, **more).collect())
+    assert rows() == rows(most_chars=2500)  # in parts: the same scores
     kept = without_leaks(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert leaks(docs, bench.limit(0)).count() == 0 and leaks(docs.limit(0), bench).count() == 0 and without_leaks(docs, bench.limit(0)).count() == 6
@@ -78,3 +107,11 @@ def test_split():
     assert split_item("What is it? A cat.") == ("What is it?", " A cat.")
     assert split_item("One. Two. Three.") == ("One. Two.", "Three.")
     assert split_item("a b c d e f") == ("a b c d", "e f")
+
+
+def test_question_alone_is_no_leak():
+    bench = [(1, "Which planet is the third one from the sun in our system? It is the Earth of course")]
+    index = Index(bench, 0.5, 0.5, 3)
+    asked = "some words and Which planet is the third one from the sun in our system, who knows"
+    got = [set(m) for m in index.matches(pa.array([asked, asked + " It is the Earth of course"]))]
+    assert got == [set(), {1}] == brute(bench, [asked, asked + " It is the Earth of course"])

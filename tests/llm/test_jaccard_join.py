@@ -39,7 +39,7 @@ def run(spark, rows, n, num, den, **more):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("n,num,den,more", [(3, 90, 100, {}), (5, 8, 10, {"in_one_task": 3, "task_shingles": 500}), (3, 9, 10, {"hub_list": 4, "long_list": 3, "task_shingles": 300, "in_one_task": 2})])
+@pytest.mark.parametrize("n,num,den,more", [(3, 90, 100, {}), (5, 8, 10, {"in_one_task": 3, "task_shingles": 500}), (3, 9, 10, {"hub_list": 4, "long_list": 3, "task_shingles": 300, "in_one_task": 2}), (1, 1, 2, {}), (2, 2, 3, {})])
 def test_matches_brute_force(spark, sf, n, num, den, more):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rng = np.random.default_rng(1)
@@ -49,6 +49,7 @@ def test_matches_brute_force(spark, sf, n, num, den, more):
         w[int(rng.integers(len(w)))] = f"x{k}"
         rows.append((10_000 + k, " ".join(w)))
     rows += [(20_000, None), (20_001, ""), (20_002, " \n\t"), (20_003, "One"), (20_004, "one"), (20_005, "one two"), (20_006, "One  two"), (20_007, rows[5][1]), (20_007, rows[5][1])]
+    rows += [(20_010, "b9 a9"), (20_011, "a9"), (20_012, "c9 d9 e9"), (20_013, "c9 d9")]  # few shingles in common
     rows += [(20_008, "a b c " * 30000), (20_009, "a b c " * 20000)]
     want = brute(rows, n, num, den)
     assert run(spark, rows, n, num, den, **more) == want
@@ -93,3 +94,9 @@ def test_links_within_changes_its_largest_component():
                 root[find(root, i)] = find(root, j)
             pairs = combinations(range(len(sets)), 2)
             assert all((find(root, i) == find(root, j)) == (find(full, i) == find(full, j)) for i, j in pairs)
+
+
+def test_copies_without_an_id_or_a_set_are_dealt_out(spark):
+    """A class of more than a thousand copies, and as many rows without words."""
+    rows = [(k, "one two three four five six") for k in range(1500)] + [(2000 + k, None) for k in range(1500)] + [(5000, "one two three four five")]
+    assert run(spark, rows, 1, 8, 10) == [(d, len((t or "").split()), 0 if t else d) for d, t in rows]
