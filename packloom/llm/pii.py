@@ -1,24 +1,34 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four base patterns find seed entities. The words around each seed make lexical
-patterns (the two words before; the word before and the word after). The same
-contexts are taken around every other identifier-like token, which gives a
-graph of patterns and instances. Spark scores it iteratively: a pattern is as
-good as the share of its distinct instances that are known to be of one kind,
-an instance as good as its patterns together. Patterns above a threshold, with
-enough distinct instances behind them, then name identifiers that no base
-pattern matches. Instances are distinct values, so copies of a text add no
-evidence.
-
-Texts are read once. What leaves them are spans and hashes of the contexts,
-which is little; the graph's aggregations combine map-side, so a context that
-half of all instances share costs no more than others.
+Four base patterns find seed entities. Around and in each seed lie lexical
+patterns: the two words before it; the word before and the word after; the
+label before it (a word and its separators, as in ``tel:``); its shape (runs
+of letters, digits counted and not, separators); the shape with the word before; the
+shape of its last piece. The same patterns are taken of every other
+identifier-like run of text, which gives a graph of patterns and instances.
+Spark scores it iteratively: a pattern is as good as the share of its distinct
+instances that are known to be of one kind, an instance as good as its
+patterns together. Patterns above a threshold, with enough distinct instances
+behind them, then name identifiers that no base pattern matches. Instances are
+distinct values, so copies of a text add no evidence. What a base pattern
+matches but its check rejects (a number that fails Luhn) is an instance of no
+kind, so shapes that such numbers have are not believed.
+
+Texts are read once. What leaves them are spans and hashes of the patterns,
+which is little; the graph's aggregations combine map-side, and its joins deal
+out the instances of one pattern, so a pattern that a third of all instances
+share costs no more than others.
+
+Definitions that bound what is looked at, at every size of text alike: a
+candidate has 5 to 64 characters; the words around it are cut at 96 characters
+from it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +48,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HIT = re.compile(r"[0-9@]+")
 _SPACE = re.compile(r"\s")
+_RUN = re.compile(r"([^\W\d_]+)|[0-9]+")
+_COUNT = re.compile(r"9[0-9]+")
+#: A word and the separators that make it a label of what follows.
+_LABEL = re.compile(r"([^\W\d_]+)(\s*[:=]\s*[\"'(\[<]?)$")
+#: Digits and their marks over single spaces, as numbers are written in pieces.
+_PIECES = re.compile(r"[+(]?[0-9][0-9().+-]*(?: [0-9().+-]*[0-9][0-9().+-]*)+")
 _STRIP = ".,;:!?()[]{}\"'<>|*%$&#~`=/\\"
 _WINDOW = 96
+_LANES = 16
 _LONGEST = 64
 
 
@@ -69,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or "0") < 256 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -82,15 +99,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def shape_of(token: str) -> str:
+    """Letters as ``a``, runs of digits as ``9`` and their number, the rest as it is."""
+    return _RUN.sub(lambda m: "a" if m[1] else f"9{len(m[0])}", token)
+
+
 def _contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns around a span; none without words."""
-    left = [w for w in (x.strip(_STRIP).lower() for x in text[max(0, start - _WINDOW) : start].split()[-3:]) if w][-2:]
+    """Hashes of the lexical patterns of a span."""
+    token, lead = text[start:end], text[max(0, start - _WINDOW) : start]
+    left = [w for w in (x.strip(_STRIP).lower() for x in lead.split()[-3:]) if w][-2:]
     right = [w for w in (x.strip(_STRIP).lower() for x in text[end : end + _WINDOW].split()[:2]) if w][:1]
-    found = []
+    shape = shape_of(token)
+    found = [f"s {shape}", f"g {_COUNT.sub('9', shape)}"]
+    if left:
+        found.append(f"c {left[-1]} {shape}")
     if len(left) == 2:
         found.append(f"l {left[0]} {left[1]}")
     if left and right:
         found.append(f"m {left[-1]} {right[0]}")
+    if label := _LABEL.search(lead):
+        found.append(f"b {label[1].lower()}{''.join(label[2].split())}")
+    if (last := token.rsplit(None, 1)[-1]) != token:
+        found.append(f"e {shape_of(last)}")
     return [_hash(x) for x in found]
 
 
@@ -106,9 +136,16 @@ def identifier_like(token: str) -> bool:
 
 
 def _candidates(text: str, taken: list[tuple[int, int, int]]):
-    """Identifier-like tokens that no base span touches."""
+    """Identifier-like tokens, and numbers in pieces, that no base span touches."""
     spans = sorted((a, z) for _, a, z in taken)
-    behind = 0
+    ends = [z for _, z in spans]
+    free = lambda a, z: (k := bisect_right(ends, a)) == len(spans) or spans[k][0] >= z
+    pieces = []
+    for m in _PIECES.finditer(text):
+        if len(m[0]) <= _LONGEST and sum("0" <= c <= "9" for c in m[0]) >= 7 and free(*m.span()):
+            pieces.append(m.span())
+            yield *m.span(), m[0]
+    behind, piece = 0, 0
     for m in _HIT.finditer(text):
         if m.start() < behind:
             continue
@@ -124,7 +161,10 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]):
         start += len(token) - len(token.lstrip(_STRIP))
         token = token.strip(_STRIP)
         end = start + len(token)
-        if identifier_like(token) and not any(a < end and start < z for a, z in spans):
+        while piece < len(pieces) and pieces[piece][1] <= start:
+            piece += 1
+        inside = piece < len(pieces) and pieces[piece][0] < end
+        if not inside and identifier_like(token) and free(start, end):
             yield start, end, token
 
 
@@ -132,7 +172,7 @@ _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 _MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
 
-def _read(at: int):
+def _read(at: int, hide: tuple[int, int] | None):
     """Rows -> the same, with row number, base spans and mentions in context."""
 
     def run(batches):
@@ -144,9 +184,14 @@ def _read(at: int):
                 found, seen = [], []
                 if _HIT.search(text):
                     found = base_spans(text)
-                    for k, a, z in found:
-                        seen.append({"kind": k, "start": a, "end": z, "instance": _hash(f"{k} {text[a:z]}"), "patterns": _contexts(text, a, z)})
-                    for a, z, token in _candidates(text, found):
+                    taken, found = found, []
+                    for k, a, z in taken:
+                        instance = _hash(f"{k} {text[a:z]}")
+                        hidden = hide is not None and instance % hide[0] == hide[1]
+                        if not hidden:
+                            found.append((k, a, z))
+                        seen.append({"kind": -1 if hidden else k, "start": a, "end": z, "instance": instance, "patterns": _contexts(text, a, z)})
+                    for a, z, token in _candidates(text, taken):
                         seen.append({"kind": -1, "start": a, "end": z, "instance": _hash(f"- {token}"), "patterns": _contexts(text, a, z)})
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z in found])
                 mentions.append(seen)
@@ -157,11 +202,12 @@ def _read(at: int):
     return run
 
 
-def graph_scores(mentions: DataFrame, rounds: int = 3, support: float = 3.0, pattern_score: float = 0.6, instance_score: float = 0.7) -> DataFrame:
+def graph_scores(mentions: DataFrame, rounds: int = 10, support: float = 3.0, pattern_score: float = 0.6, instance_score: float = 0.7) -> DataFrame:
     """From mentions (kind, instance, pattern; kind -1 is unknown) the unknown
-    instances that good patterns name: (instance, kind, score)."""
+    instances that good patterns name: (instance, kind, score). Rounds end when
+    as many instances are named as in the round before."""
     edges = stage_table(mentions.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "graph")
-    unknown = edges.where("kind < 0").select("pattern", "instance")
+    unknown = edges.where("kind < 0").select("pattern", "instance", F.pmod(F.xxhash64("instance"), F.lit(_LANES)).cast("int").alias("lane"))
     belief = None
     for _ in range(rounds):
         weight = lambda k, own: F.sum(F.when(F.col("kind") == k, own).otherwise(0.0)).alias(f"s{k}")
@@ -172,7 +218,9 @@ def graph_scores(mentions: DataFrame, rounds: int = 3, support: float = 3.0, pat
         best = F.greatest(*(f"s{k}" for k in range(len(KINDS))))
         which = F.coalesce(*(F.when(F.col(f"s{k}") == F.col("best"), F.lit(k)) for k in range(len(KINDS))))
         patterns = sums.withColumn("best", best).where(F.col("best") >= support).select("pattern", which.alias("kind"), (F.col("best") / (F.col("n") + 0.5)).alias("score")).where(F.col("score") >= pattern_score)
-        named = unknown.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("score"))
+        # A common pattern's instances are dealt to several tasks.
+        patterns = patterns.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(_LANES - 1))))
+        named = unknown.join(patterns, ["pattern", "lane"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("score"))
         new = named.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("instance", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
         new = stage_table(new, "belief")
         size = new.count()
@@ -185,10 +233,13 @@ def graph_scores(mentions: DataFrame, rounds: int = 3, support: float = 3.0, pat
     return belief.where(F.col("score") >= instance_score)
 
 
-def pii_spans(docs: DataFrame, columns: list[str], text_col: str = "text", **options) -> DataFrame:
+def pii_spans(docs: DataFrame, columns: list[str], text_col: str = "text", hide: tuple[int, int] | None = None, **options) -> DataFrame:
     """One row per row of ``docs``: ``columns`` as c0, c1, ..., base
     array<struct<kind, start, end>> and spans, the same with what the contexts
     add; code points, end exclusive, sorted by kind as in ``KINDS``, then start.
+    ``hide`` (modulus, remainder) takes the seeds whose hash has that remainder
+    for unknown ones, to measure how many come back; ``options`` are those of
+    ``graph_scores``.
 
     Null texts are empty and have no spans. A value found by contexts never
     overlaps a base span. Ties between kinds go to the one listed first.
@@ -199,7 +250,7 @@ def pii_spans(docs: DataFrame, columns: list[str], text_col: str = "text", **opt
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(text_col).alias("body"))
     span = "array<struct<kind: int, start: bigint, end: bigint>>"
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
-    read = source.mapInArrow(_read(len(names)), f"{kinds}, row long, spans {span}, mentions array<struct<kind: int, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
+    read = source.mapInArrow(_read(len(names), hide), f"{kinds}, row long, spans {span}, mentions array<struct<kind: int, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
     read = stage_table(read.drop("body"), "mentions")
     each = read.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m"))
     graph = each.select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
