@@ -2,18 +2,24 @@
 
 The standard library's parser feeds events to a builder that holds one line
 (block of text) at a time. A line has its text, the tags met since the line
-before, the share of its text inside links, and the sectioning elements it
-lies in. Text-to-tag ratios are smoothed with a Gaussian over the page's
-lines, and a threshold splits them into two clusters, content and rest. The
-content cluster picks the region: an article or main element that holds most
-of its text, else the innermost element that does and whose surroundings add
-little. All lines of the region count, short
-ones too, save those inside elements that by name or role are no content.
+before, the share of its text inside links, and the element it lies in.
+Text-to-tag ratios are smoothed with a Gaussian over the page's lines. Names,
+roles and tags that speak of menus, adverts, comments and the like are a
+feature: they divide the ratio of the lines inside, unless most of the page's
+prose is in there, as in a wrapper that is called after its sidebar. A
+threshold then splits the lines into two clusters, content and rest.
+
+The region is the element with the largest balance: the text of the content
+cluster inside it, less what is of the other cluster and is linked or
+divided. An article or main element goes before others of equal balance. All
+lines of the region count, short ones too, save linked and divided ones of the
+lower cluster. All of it is linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,10 +31,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _SECTION = frozenset("article body div main section table td".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-# Elements that never hold content.
-_NEVER = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object option script select style svg template textarea title".split())
+# Elements whose text is not shown, or is a control's.
+_UNSEEN = frozenset("button canvas datalist head iframe noscript object option script select style svg template textarea title".split())
+# Elements that seldom hold content.
+_APART = frozenset("aside dialog footer form menu nav search".split())
+_ENDS = _UNSEEN | _APART
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-# Words of class and id that mark what is no content.
+# Words of class and id that speak of what is no content.
 _NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments
     commentlist consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation
@@ -37,59 +46,87 @@ _NAMES = frozenset(
     widget widgets""".split()
 )
 _HEAD_NAMES = frozenset(("header", "site-header", "page-header", "top-header"))
+_WITH = frozenset("has have no not with without".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+# Marks of elements: none, named after something else too, outright, a header.
+PLAIN, WEAK, STRONG, HEADER = range(4)
+# What a mark divides the smoothed ratio by.
+_DIVIDED = 100.0
+
+
+def _named(value: str) -> int:
+    """What a class or id says: outright if the last word of a name does."""
+    mark = PLAIN
+    for name in value.split():
+        words = _WORD.findall(name)
+        if words and words[0] not in _WITH and not _NAMES.isdisjoint(words):
+            mark = max(mark, STRONG if words[-1] in _NAMES else WEAK)
+    return mark
 
 
 class _Line:
-    __slots__ = ("links", "path", "tags", "text")
+    __slots__ = ("links", "node", "tags", "text")
 
-    def __init__(self, text, tags, links, path):
-        self.text, self.tags, self.links, self.path = text, tags, links, path
+    def __init__(self, text, tags, links, node):
+        self.text, self.tags, self.links, self.node = text, tags, links, node
 
 
 class _Lines(HTMLParser):
-    """Events to lines. ``skip`` counts open elements that hold no content."""
+    """Events to lines, and a tree of the elements that may be a region or are
+    marked. ``skip`` counts open elements whose text is not shown."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, starts a skip, section number or 0
-        self.sections: list[int] = []
-        self.kinds: dict[int, str] = {}
+        self.open: list[tuple[str, bool, bool]] = []  # tag, starts a skip, is a node
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.parent, self.tag, self.mark = [0], ["html"], [PLAIN]  # of each node
+        self.inner = [0]  # open nodes
         self.parts: list[str] = []
-        self.tags = self.links = self.skip = self.anchors = self.made = 0
-
-    def _no_content(self, tag: str, attrs) -> bool:
-        if tag in _NEVER:
-            return True
-        inside = any(k in ("article", "main") for k in map(self.kinds.get, self.sections))
-        if tag == "header":
-            return not inside
-        if tag in ("html", "body", "article", "main"):
-            names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower().split()
-            return tag == "article" and any(w in ("comment", "comments", "ad", "advert", "promo", "sponsored") for n in names for w in _WORD.findall(n))
+        self.tags = self.links = self.skip = self.anchors = 0
+
+    def parse_marked_section(self, i, report=1):
+        """A declaration like <![x[...]]>, of whatever kind, is no text."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def _looks(self, tag: str, attrs) -> tuple[bool, int]:
+        """Whether an element is not shown, and its mark."""
+        if tag in _UNSEEN:
+            return True, PLAIN
+        mark = WEAK if tag == "form" else STRONG if tag in _APART else PLAIN
+        inside = self.count["article"] or self.count["main"]
+        if tag == "header" and not inside:
+            mark = HEADER
+        whole = tag in ("html", "body", "article", "main")
         for k, v in attrs:
+            if k == "hidden":
+                return not whole, PLAIN
             if not v:
-                if k == "hidden":
-                    return True
                 continue
-            if k == "role" and v.lower() in _ROLES or k == "aria-hidden" and v.lower() == "true":
-                return True
-            if k == "style" and "display:none" in v.replace(" ", "").lower():
-                return True
-            if k in ("class", "id"):
+            if k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower():
+                return not whole, PLAIN
+            if whole and tag != "article":
+                continue
+            if k == "role" and v.lower() in _ROLES:
+                mark = max(mark, STRONG)
+            elif k in ("class", "id"):
                 low = v.lower()
-                if not _NAMES.isdisjoint(_WORD.findall(low)) or not inside and not _HEAD_NAMES.isdisjoint(low.split()):
-                    return True
-        return False
+                named = _named(low)
+                if tag == "article":  # a comment or an advert of its own; other names are the site's
+                    named = STRONG if named and not {"comment", "comments", "ad", "advert", "promo", "sponsored"}.isdisjoint(_WORD.findall(low)) else PLAIN
+                mark = max(mark, named)
+                if mark == PLAIN and not inside and not _HEAD_NAMES.isdisjoint(low.split()):
+                    mark = HEADER
+        return False, mark
 
     def _end_line(self):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.lines.append(_Line(text, self.tags, self.links, tuple(self.sections)))
+                self.lines.append(_Line(text, self.tags, self.links, self.inner[-1]))
                 self.tags = self.links = 0
 
     def handle_starttag(self, tag, attrs):
@@ -106,16 +143,19 @@ class _Lines(HTMLParser):
             self._close("p", _CLOSES_P - {"p"})
         elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close(tag, frozenset(("ul", "ol", "dl", "table", "select")) | _SECTION - {"td"})
-        no = self._no_content(tag, attrs)
-        section = 0
-        if tag in _SECTION and not self.skip:
-            self.made += 1
-            section = self.made
-            self.kinds[section] = tag
-            self.sections.append(section)
-        self.skip += no
+        unseen, mark = self._looks(tag, attrs)
+        if tag in _INLINE and mark:
+            unseen, mark = True, PLAIN
+        node = not self.skip and (tag in _SECTION or mark != PLAIN)
+        if node:
+            self.parent.append(self.inner[-1])
+            self.tag.append(tag)
+            self.mark.append(mark)
+            self.inner.append(len(self.parent) - 1)
+        self.skip += unseen
         self.anchors += tag == "a"
-        self.open.append((tag, no, section))
+        self.count[tag] += 1
+        self.open.append((tag, unseen, node))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,20 +164,21 @@ class _Lines(HTMLParser):
 
     def _close(self, tag, until=frozenset()):
         """Close the innermost ``tag``, and what is open inside it."""
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
                 break
             if name in until:
                 return
-        else:
-            return
         while len(self.open) > k:
-            name, no, section = self.open.pop()
-            self.skip -= no
+            name, unseen, node = self.open.pop()
+            self.count[name] -= 1
+            self.skip -= unseen
             self.anchors -= name == "a"
-            if section:
-                self.sections.pop()
+            if node:
+                self.inner.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -149,7 +190,7 @@ class _Lines(HTMLParser):
         if tag in _INLINE:
             self._close(tag, _CLOSES_P | _SECTION | {"li"})
         elif tag not in ("html", "body"):
-            self._close(tag, frozenset() if tag in _SECTION or tag in _NEVER or tag in ("header", "ul", "ol", "table") else _SECTION | _NEVER)
+            self._close(tag, frozenset() if tag in _SECTION or tag in _ENDS or tag in ("header", "ul", "ol", "table") else _SECTION | _ENDS)
 
     def handle_data(self, data):
         if not self.skip:
@@ -187,33 +228,52 @@ def content_cluster(ratios: np.ndarray, rounds: int = 20) -> np.ndarray:
     return ratios >= min(cut, ratios.max())
 
 
-def main_text(html: str, most: float = 0.8, inner: float = 0.7) -> str:
+def _upwards(values: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Sums over subtrees; nodes are numbered from the outside in."""
+    out = values.tolist()
+    for k in range(len(out) - 1, 0, -1):
+        out[parent[k]] += out[k]
+    return np.array(out)
+
+
+def main_text(html: str) -> str:
     """Blocks of the page's content, in page order, joined by blank lines."""
     parser = _Lines()
     parser.feed(html)
     lines = parser.done()
     if not lines:
         return ""
-    chosen = content_cluster(smoothed_ratios(lines))
-    held: dict[int, int] = {}  # text of the cluster in each element
-    prose: dict[int, int] = {}  # text outside links in each element
-    total = 0
-    for line, ok in zip(lines, chosen, strict=True):
-        total += len(line.text) * bool(ok)
-        for s in line.path:
-            held[s] = held.get(s, 0) + len(line.text) * bool(ok)
-            prose[s] = prose.get(s, 0) + max(len(line.text) - line.links, 1)
-    named = [s for s in held if parser.kinds[s] in ("article", "main") and held[s] * 2 >= total]
-    if named:
-        region = min(named, key=lambda s: (parser.kinds[s] != "article", -held[s], -s))
-    else:
-        # From the outside in (numbers grow inwards), while an element holds
-        # most of the cluster and most of the prose around it.
-        region = 0
-        for s in sorted(held):
-            if held[s] >= most * total and (not region or prose[s] >= inner * prose[region]):
-                region = s
-    return "\n\n".join(x.text for x in lines if not region or region in x.path)
+    parent, mark = parser.parent, np.array(parser.mark)
+    nodes = len(parent)
+    node = np.array([x.node for x in lines])
+    size = np.array([len(x.text) for x in lines], float)
+    links = np.array([x.links for x in lines], float)
+    by_node = lambda values: _upwards(np.bincount(node, values, minlength=nodes), parent)
+
+    # Marks count unless nearly all prose is inside; weak ones not even with most of it.
+    prose = np.maximum(size - links, 0)
+    held = by_node(prose)
+    share = held / max(held[0], 1.0)
+    marked = (mark != PLAIN) & ~((share >= 0.95) | (mark == WEAK) & (share >= 0.5))
+    apart, heads = [False] * nodes, [False] * nodes  # in a marked element; in a header only
+    for k in range(1, nodes):
+        apart[k] = apart[parent[k]] or bool(marked[k] and mark[k] != HEADER)
+        heads[k] = heads[parent[k]] or bool(marked[k] and mark[k] == HEADER)
+    apart, heads = np.array(apart)[node], np.array(heads)[node]
+
+    ratios = smoothed_ratios(lines)
+    chosen = content_cluster(np.where(apart | heads, ratios / _DIVIDED, ratios))
+    poor = ~chosen & (apart | heads | (2 * links >= size))
+    # Headings and other short lines weigh nothing either way.
+    balance = by_node(np.where(chosen, size, np.where(poor, -size, 0.0)))
+    eligible = [k for k in range(nodes) if parser.tag[k] in _SECTION or not k]
+    region = max(eligible, key=lambda k: (balance[k], parser.tag[k] in ("article", "main"), k))
+    inside = [False] * nodes
+    for k in range(region, nodes):
+        inside[k] = k == region or inside[parent[k]] and k > 0
+    # A header inside the region is the article's own, unless the region is the page.
+    keep = np.array(inside)[node] & ~(poor & ~(heads & ~apart & (parser.tag[region] not in ("html", "body")) & (2 * links < size)))
+    return "\n\n".join(x.text for x, ok in zip(lines, keep.tolist(), strict=True) if ok)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -61,18 +61,21 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         return seeds.select("kind", "host", F.col("seed").alias("rank"))
     out = edges.select("kind", F.col("src").alias("host")).distinct().withColumn("leads", F.lit(True))
     state = stage_table(seeds.join(out, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("leads", F.lit(False)).alias("leads"), F.col("seed").alias("rank")), "rank")
-    for _ in range(rounds):
-        lost = {r.kind: r.lost for r in state.groupBy("kind").agg(F.sum(F.when(~F.col("leads"), F.col("rank")).otherwise(0.0)).alias("lost")).collect()}  # two rows
+    totals = lambda table, moved: {r.kind: r for r in table.groupBy("kind").agg(F.sum(F.when(~F.col("leads"), F.col("rank")).otherwise(0.0)).alias("lost"), F.sum(moved).alias("moved")).collect()}  # noqa: E731 - two rows
+    of = totals(state, F.lit(0.0))
+    for k in range(rounds):
         moved = edges.join(state.where("rank > 0").select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
         moved = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         back = F.lit(0.0)
-        for kind, x in lost.items():
-            back = F.when(F.col("kind") == kind, F.lit(float(x))).otherwise(back)
+        for kind, x in of.items():
+            back = F.when(F.col("kind") == kind, F.lit(float(x.lost))).otherwise(back)
         rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back * F.col("seed"))
         new = stage_table(state.select("kind", "host", "seed", "leads", F.col("rank").alias("old")).join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "leads", rank.alias("rank"), "old"), "rank")
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        of = totals(new, F.abs(F.col("rank") - F.col("old")))
+        change = sum(x.moved for x in of.values())
         drop_table(state)
-        free_shuffles(state.sparkSession)
+        if k % 8 == 7:
+            free_shuffles(new.sparkSession)
         state = new
         if change < tolerance:
             return state.select("kind", "host", "rank")
