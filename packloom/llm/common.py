@@ -59,6 +59,20 @@ def drop_table(table: DataFrame) -> None:
     _written.remove((spark, table._staged))
 
 
+def staged_tables() -> int:
+    """How many tables are staged; ``drop_staged`` takes it for a mark."""
+    return len(_written)
+
+
+def drop_staged(since: int, keep: DataFrame) -> None:
+    """Delete the tables staged after a mark, save ``keep``."""
+    for spark, path in _written[since:]:
+        if path != keep._staged:
+            _delete(spark, path)
+            _written.remove((spark, path))
+    free_shuffles(keep.sparkSession)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -83,6 +97,14 @@ def _clean() -> None:
             continue
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the column's text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chain, drop_table, free_shuffles, stage_table, text_chunks, words_of
+from .common import U64, chain, drop_table, free_name, free_shuffles, stage_table, text_chunks, words_of
 from .components import components
 
 
@@ -448,6 +448,10 @@ def jaccard_join(
     hubs = spark.sparkContext.broadcast(np.sort(common[counts > hub_list]))
     low = some.select("fp", "n_shingles", "low")
     grouped = stage_table(low.mapInArrow(_prefixed(order, t_num, t_den), "fp long, n long, grp long, prefix binary"), "prefixes")
+    slim = stage_table(rows.select("id", "n_shingles", "fp"), "rows")
+    drop_table(rows)
+    rows = slim
+    some = rows.where("fp is not null")
     groups = grouped.select("fp", "grp").distinct()
     entries = grouped.select("n", "grp", "prefix")
     pairs = entries.mapInArrow(_postings(hubs, buckets), "bucket int, e binary")
@@ -460,6 +464,8 @@ def jaccard_join(
     several = groups.groupBy("grp").count().where("count > 1").select("grp")
     cands = near.select(F.col("node").alias("grp"), "root").join(several, "grp", "full").select("grp", F.coalesce("root", "grp").alias("root"))
     cands = stage_table(groups.join(cands, "grp").join(classes, "fp").where("first is not null").select("fp", "root", "first", "n"), "cands")
+    drop_table(grouped)
+    free_shuffles(spark)
     totals = cands.groupBy("root").agg(F.sum("n").alias("total"))
     tasks = _tasks(cands, totals, task_shingles, t_num, t_den)
     texts = source.join(tasks.select(F.col("first").alias("id"), "fp", "tasks"), "id").select("fp", "tasks", "text")
@@ -473,8 +479,7 @@ def jaccard_join(
     label = label.join(least, "root").select("fp", "least")
     label = classes.select("fp", "first", "size").join(label, "fp", "left").select("fp", "size", F.coalesce("least", "first").alias("least"))
     label = stage_table(label, "labels")
-    for table in (grouped, cands):
-        drop_table(table)
+    drop_table(cands)
     free_shuffles(spark)
     # Rows of the large classes (a bounded number of them) and rows without a
     # set, which have no class, are dealt out evenly.
@@ -491,15 +496,16 @@ def jaccard_join(
 def one_of_each(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all columns, less near copies: of each component the
     document with the smallest id stays. Rows that repeat an id and a text are
-    copies too. Texts without words and rows without an id stay.
+    copies too. Texts without words and rows without an id stay. Other columns
+    may have any names; of repeated rows that differ there, any one stays.
+    Empty input: no rows.
     """
-    links = jaccard_join(docs, words, threshold, id_col, text_col, **options)
-    gone = links.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    links = jaccard_join(docs, words, threshold, id_col, text_col, **options).toDF(id_col, "n_shingles", "component_id")
+    other = free_name(docs, "gone")
+    gone = links.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(other)).distinct()
     with_id = docs.where(F.col(id_col).isNotNull())
-    kept = with_id.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    mark = "text_hash"
-    while mark in docs.columns:
-        mark += "_"
+    kept = with_id.join(gone, F.col(id_col) == F.col(other), "left_anti")
+    mark = free_name(docs, "text_hash")
     kept = kept.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark]).select(*docs.columns)
     return kept.union(docs.where(F.col(id_col).isNull()))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stage_table, text_chunks, words_of
+from .common import drop_table, remainder, stage_table, text_chunks, words_of
 
 # Byte classes: upper, lower, digit, sentence marks, exclamation, bar, other
 # symbols, space, line feed, non-ASCII, rest.
@@ -74,7 +74,7 @@ def _measured(batches):
         x = statistics(b.column(1))
         values = pa.array(x.ravel(), pa.float64())
         stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([b.column(0), stats, b.column(2)], ["id", "stats", "held_out"])
+        yield pa.RecordBatch.from_arrays([b.column(0), stats, *b.columns[2:]], ["id", "stats", *b.schema.names[2:]])
 
 
 class _Model:
@@ -170,28 +170,40 @@ def fit(train: DataFrame, features: int = 256, ridge: float = 0.1, bandwidth: fl
 def _learnt(measured: DataFrame, labels: DataFrame, label: str, id_col: str):
     """Broadcast model from rows (id, stats, held_out, ...) and labels by id."""
     marks = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"))
-    train = stage_table(measured.where("not held_out").join(marks, "id").select("stats", "label"), "training")
-    return measured.sparkSession.sparkContext.broadcast(fit(train))
+    train = stage_table(measured.where("not held_out").select("id", "stats").join(marks, "id").select("stats", "label"), "training")
+    model = measured.sparkSession.sparkContext.broadcast(fit(train))
+    drop_table(train)
+    return model
 
 
-def _measure(docs: DataFrame, held_out: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _measure(docs: DataFrame, held_out: tuple[int, int], id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """(id, stats, held_out), and with ``keep`` all columns of ``docs`` as c0,
+    c1, ..."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if keep))
     source = source.withColumn("held_out", remainder("id", held_out[0]) == held_out[1])
+    source = source.select("id", "text", "held_out", *(c for c in source.columns if c[0] == "c"))
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[3:])
     kind = source.schema["id"].dataType.simpleString()
-    return stage_table(source.mapInArrow(_measured, f"id {kind}, stats array<double>, held_out boolean"), "statistics")
+    return stage_table(source.mapInArrow(_measured, f"id {kind}, stats array<double>, held_out boolean{kinds}"), "statistics")
 
 
 def good_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that ``quality_scores`` would
-    predict 1."""
-    model = _learnt(_measure(docs, held_out, id_col, text_col), labels, label, id_col)
-    at = docs.columns.index(text_col)
+    predict 1. Null and empty texts share one score, so all of them stay or
+    go; so do equal texts. Null ids are judged like others, repeated rows stay
+    repeated, other columns may have any names. Without labels of both kinds
+    every text has one score. Empty input: no rows."""
+    measured = _measure(docs, held_out, id_col, text_col, keep=True)
+    model = _learnt(measured, labels, label, id_col)
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(model.value.score(statistics(b.column(at))) >= threshold))
+            x = b.column(1).flatten().to_numpy().reshape(-1, N_STATS)
+            yield b.select(names).filter(pa.array(model.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    return measured.mapInArrow(run, kinds).toDF(*docs.columns)
 
 
 def quality_scores(
