@@ -414,7 +414,7 @@ def jaccard_join(
     hub_list: int = 100_000,
     common_least: int = 4,
     common_most: int = 1 << 20,
-    task_shingles: int = 4_000_000,
+    task_shingles: int = 1_000_000,
     buckets: int | None = None,
     in_one_task: int = 100_000,
 ) -> DataFrame:
