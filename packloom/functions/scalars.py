@@ -124,3 +124,11 @@ def shannon_text(text: Column) -> Column:
     size = F.octet_length(text).cast("double")
     bits = F.log2(size) - F.aggregate(pairs, start, step, lambda s: s["total"] + weigh(s["n"])) / size
     return F.when(size == 0, F.lit(0.0)).when(size > 0, F.greatest(bits, F.lit(0.0)))
+
+
+def free_name(df, name: str) -> str:
+    """``name``, lengthened until no column has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -45,7 +45,7 @@ def _with_room(sections: DataFrame, limit) -> DataFrame:
     """Adds ``room``: what exempt sections leave of the limit."""
     limit = F.lit(limit).cast("bigint") if isinstance(limit, int) else limit
     exempt = F.sum(F.when(F.col("priority") == EXEMPT, F.col("token_estimate")).otherwise(0)).over(Window.partitionBy("pack_id"))
-    return sections.withColumn("room", F.greatest(limit - exempt, _zero()))
+    return sections.select("pack_id", "ord", "priority", "name", "content", "token_estimate", F.greatest(limit - exempt, _zero()).alias("room"))
 
 
 def _decided(df: DataFrame, outcome: Column, final: Column, reason: Column, content: Column) -> DataFrame:
@@ -61,19 +61,24 @@ def _decided(df: DataFrame, outcome: Column, final: Column, reason: Column, cont
 
 
 def priority(sections: DataFrame, limit) -> DataFrame:
-    """Greedy: a section that doesn't fit is skipped, later ones still may."""
-    lean = _with_room(sections, limit).select("pack_id", "ord", "priority", F.col("token_estimate").cast("bigint").alias("token_estimate"), "room")
+    """Greedy: a section that doesn't fit is skipped, later ones still may.
+    Sections of a pack with the same ``ord`` are told apart by their priority,
+    tokens, name and content; equal ones go in any order."""
+    same = Window.partitionBy("pack_id", "ord").orderBy("priority", "token_estimate", "name", "content")
+    sections = _with_room(sections, limit).withColumn("again", F.row_number().over(same).cast("bigint"))
+    lean = sections.select("pack_id", "ord", "again", "priority", F.col("token_estimate").cast("bigint").alias("token_estimate"), "room")
     rows = lean.where(F.col("priority") != EXEMPT).groupBy("pack_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("priority").cast("bigint").alias("p"), F.col("ord").cast("bigint").alias("o"), F.col("token_estimate").alias("t")))).alias("xs"), F.max("room").alias("room")
+        F.array_sort(F.collect_list(F.struct(F.col("priority").cast("bigint").alias("p"), F.col("ord").cast("bigint").alias("o"), F.col("again").alias("a"), F.col("token_estimate").alias("t")))).alias("xs"), F.max("room").alias("room")
     )
-    start = F.struct(_zero().alias("run"), F.array().cast("array<bigint>").alias("kept"))
+    start = F.struct(_zero().alias("run"), F.array().cast("array<struct<o: bigint, a: bigint>>").alias("kept"))
 
     def step(acc, x):
         fits = acc["run"] + x["t"] <= F.col("room")
-        return F.struct(F.when(fits, acc["run"] + x["t"]).otherwise(acc["run"]).alias("run"), F.when(fits, F.concat(acc["kept"], F.array(x["o"]))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(F.when(fits, acc["run"] + x["t"]).otherwise(acc["run"]).alias("run"), F.when(fits, F.concat(acc["kept"], F.array(F.struct(x["o"].alias("o"), x["a"].alias("a"))))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = rows.select("pack_id", F.explode(F.aggregate("xs", start, step, lambda a: a["kept"])).alias("ord"))
-    out = sections.join(kept.withColumn("fits", F.lit(True)), ["pack_id", "ord"], "left")
+    kept = rows.select("pack_id", F.explode(F.aggregate("xs", start, step, lambda a: a["kept"])).alias("k"))
+    kept = kept.select("pack_id", F.col("k.o").alias("ord"), F.col("k.a").alias("again"), F.lit(True).alias("fits"))
+    out = sections.join(kept, ["pack_id", "ord", "again"], "left")
     fits = F.coalesce("fits", F.lit(False))
     return _decided(
         out,

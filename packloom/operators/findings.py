@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ def _text(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def walk_for_key(value, key: str):
+    """Depth first: an object's own string under the key, then its children in
+    order of their names; arrays in order. None if there is none."""
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get(key), str):
+                return x[key]
+            stack += [x[k] for k in sorted(x, reverse=True)]
+        elif isinstance(x, list):
+            stack += reversed(x)
+    return None
+
+
+def _walked(js: Column) -> Column:
+    find = lambda t: None if t is None else walk_for_key(json.loads(t), "primary_path")
+    return F.pandas_udf(lambda s: pd.Series([find(t) for t in s], dtype=object), "string")(js)
+
+
 def parse_envelope(df: DataFrame, raw: str = "raw", keys: list[str] = ()) -> DataFrame:
     """(keys, raw JSON) -> one row per finding with a path; ``ord`` is its place
     in the envelope. No ``findings``: no rows; malformed JSON fails the query."""
@@ -22,9 +45,11 @@ def parse_envelope(df: DataFrame, raw: str = "raw", keys: list[str] = ()) -> Dat
     kind = F.try_variant_get(f, "$.kind", "variant")
     kind_type = F.schema_of_variant(kind)
     tag = F.when(kind_type == "STRING", kind.cast("string")).when(kind_type.startswith("OBJECT"), F.get(F.json_object_keys(F.to_json(kind)), F.lit(0)))
-    # Anywhere below: the first such key in the text of the finding.
-    deep = F.regexp_extract(F.to_json(f), r'"primary_path":"((?:[^"\\]|\\.)*)"', 1)
-    path = F.coalesce(_text(f, "$.primary_path"), _text(f, "$.impact_surface.primary_path"), F.nullif(deep, F.lit("")), _text(f, "$.path"))
+    near = F.coalesce(_text(f, "$.primary_path"), _text(f, "$.impact_surface.primary_path"))
+    # Only findings without a path of their own, but with such a key, are walked.
+    js = F.to_json(f)
+    deep = _walked(F.when(near.isNull() & js.contains('"primary_path"'), js))
+    path = F.coalesce(near, deep, _text(f, "$.path"))
     return rows.select(
         *keys,
         F.col("ord").cast("bigint").alias("ord"),

@@ -2,7 +2,7 @@
 
 Theta joins of the definitions (whole-word containment, path prefixes) become
 equi-joins: texts explode into their distinct words, paths into their
-ancestors. Suffix matches join on the last character, which both sides share.
+ancestors, and into suffixes of the lengths that the other side has.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import path_order, stem, suffix_match
+from ..functions.scalars import free_name, path_order, stem
 
 
 def stems(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -33,12 +33,21 @@ def member_files(paths: DataFrame, members: DataFrame, path: str = "path", direc
 
 def error_files(diff: DataFrame, errors: DataFrame, path: str = "path", file: str = "file") -> DataFrame:
     """Adds has_error: whether an erroneous file ends with the path or the
-    path with it. The match may be cut inside a name, so the equi-key is the
-    last character; the rest is compared within it."""
-    last = lambda c: F.substring(c, -1, 1)
-    e = errors.select(F.col(file).alias("__e")).where("__e is not null").distinct()
-    hit = diff.select(path).distinct().join(e, (last(F.col(path)) == last(F.col("__e"))) & suffix_match(F.col(path), F.col("__e")), "left_semi")
-    return diff.join(hit.withColumn("__hit", F.lit(True)), path, "left").withColumn("has_error", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    path with it; the match may be cut inside a name. Null paths have none;
+    null files match nothing; an empty one ends every path."""
+    a = diff.select(F.col(path).alias("a")).where("a is not null").distinct()
+    b = errors.select(F.col(file).alias("b")).where("b is not null").distinct()
+
+    def ends(rows, c, other, d):
+        """Pairs (c, d) where d, of ``other``, is a suffix of c."""
+        lengths = sorted(r[0] for r in other.select(F.length(d)).distinct().collect())  # of paths: few
+        cut = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(c)), lambda n: F.right(F.col(c), n))
+        return rows.select(c, F.explode(cut).alias(d)).join(other, d)
+
+    hit = ends(a, "a", b, "b").select("a").union(ends(b, "b", a, "a").select("a")).distinct()
+    mark, key = free_name(diff, "hit"), free_name(diff, "a")
+    hit = hit.select(F.col("a").alias(key), F.lit(True).alias(mark))
+    return diff.join(hit, F.col(path) == F.col(key), "left").drop(key).withColumn("has_error", F.coalesce(mark, F.lit(False))).drop(mark)
 
 
 def external_dependencies(dependencies: DataFrame, members: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import matches_any
-from ..functions.scalars import hash4, shannon
+from ..functions.scalars import free_name, hash4, shannon
 
 SEVERITIES = ("low", "medium", "high", "critical")
 REDACTION = "array<struct<rule_id: string, category: string, severity: string, hash4: string>>"
@@ -177,7 +177,7 @@ class Scrubber:
             state = self._apply(state, e.regex, self._secret, swap, lambda m: _entry("entropy", "entropy", "medium", F.regexp_extract(m, e.regex, 4)), bool(report))
         # Computed once: optimisers leave filters above what is not
         # deterministic, so none repeats the rules below.
-        work = "__scrubbed"
+        work = free_name(df, "scrubbed")
         once = lambda c: F.when(F.rand(0) >= 0, c)
         out = {text: once(F.col(work)["text"])}
         if report:
@@ -196,16 +196,27 @@ class Scrubber:
     def scrub_file(self, df: DataFrame, path: str, text: str, report: str = "redactions") -> DataFrame:
         """Path rules first: excluded files pass, whole-file rules leave a
         placeholder and one redaction, all others are scrubbed."""
-        df = self.scrub(df.withColumn("__raw", F.col(text)), text, report)
+        raw = free_name(df, "raw")
+        df = self.scrub(df.withColumn(raw, F.col(text)), text, report)
         whole, passed = self.is_path_redacted(F.col(path)), self.is_excluded(F.col(path))
-        entry = F.array(F.struct(F.lit("redact_whole").alias("rule_id"), F.lit("path").alias("category"), F.lit("high").alias("severity"), hash4(F.col("__raw")).alias("hash4")))
+        entry = F.array(F.struct(F.lit("path_redact_whole").alias("rule_id"), F.lit("file").alias("category"), F.lit("high").alias("severity"), hash4(F.col(raw)).alias("hash4")))
         marker = F.concat(F.lit("[REDACTED FILE: "), F.col(path), F.lit("]"))
         return df.withColumns(
             {
-                text: F.when(passed, F.col("__raw")).when(whole, marker).otherwise(F.col(text)),
+                text: F.when(passed, F.col(raw)).when(whole, marker).otherwise(F.col(text)),
                 report: F.when(passed, F.array().cast(REDACTION)).when(whole, entry).otherwise(F.col(report)),
             }
-        ).drop("__raw")
+        ).drop(raw)
+
+    def scrub_hunks(self, df: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
+        """Hunks of a diff, one a row: those of excluded files pass, those of
+        files that are redacted whole say so, all others are scrubbed. A null
+        path has no rules; a null body stays null."""
+        raw = free_name(df, "raw")
+        df = self.scrub(df.withColumn(raw, F.col(body)), body, None)
+        passed, whole = (F.coalesce(f(F.col(path)), F.lit(False)) for f in (self.is_excluded, self.is_redact_whole))
+        marker = F.concat(F.lit("[REDACTED FILE: "), F.col(path), F.lit(" \u2014 diff hunk elided]\n"))
+        return df.withColumn(body, F.when(passed, F.col(raw)).when(whole & F.col(raw).isNotNull(), marker).otherwise(F.col(body))).drop(raw)
 
     def check(self) -> dict:
         """What is in effect: counts of rules and of path patterns."""

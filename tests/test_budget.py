@@ -89,3 +89,13 @@ def test_effective_and_empty(spark):
     assert run(spark, [], 100, "priority") == {}
     with pytest.raises(ValueError):
         run(spark, rows((1, 1)), 1, "other")
+
+
+def test_equal_places_and_clashing_names(spark):
+    rows = [(1, 1, 1, "a", "x" * 8, 2, "f"), (1, 1, 1, "b", "y" * 8, 2, "f"), (1, 1, 1, "b", "y" * 8, 2, "f"), (1, 2, 1, "c", "z" * 400, 100, "f")]
+    df = spark.createDataFrame(rows, "pack_id long, ord long, priority int, name string, content string, token_estimate long, fits string")
+    for how in B.STRATEGIES:
+        got = B.allocate(df, B.Budget(6, 0, how)).collect()
+        assert len(got) == 4 and sum(r.final_tokens for r in got) <= 6 + 3 * 13
+    assert sorted(r.name for r in B.priority(df, 4).where("outcome = 'kept'").collect()) == ["a", "b"]
+    assert B.priority(df.limit(0), 4).count() == 0
