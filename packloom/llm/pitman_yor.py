@@ -254,6 +254,7 @@ def _summed_pairs(u, w, n):
     o = np.argsort(h)
     h = h[o]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    del h
     n = np.add.reduceat(n[o].astype(np.int64), first)
     size = np.diff(np.append(first, len(o)))
     first = o[first]
@@ -374,7 +375,7 @@ def _answers(parent: Parent | None):
 def _bases(shape: Shape, head, answers: pd.DataFrame, unknown, w) -> np.ndarray:
     """Probabilities of words under the parent, words x samples: frequent words
     from ``head``, others as answered, else ``unknown``."""
-    out = np.tile(np.asarray(unknown, float), (len(w), 1))
+    out = np.tile(np.asarray(unknown, np.float32), (len(w), 1))
     at, some = _found(shape.head_h, w)
     out[some] = head[at[some]]
     if len(answers):
@@ -507,7 +508,7 @@ class Scoring:
 
     def __init__(self, samples, head, unknown, common_h, common_p, inner, seed):
         self.samples = samples  # (theta, d, tables of contexts dealt out by pairs)
-        self.head, self.unknown = head, unknown  # words x samples, samples
+        self.head, self.unknown = head.astype(np.float32), unknown  # words x samples, samples
         self.common_h, self.common_p = common_h, common_p
         self.inner, self.seed = inner, seed
 
@@ -643,8 +644,10 @@ def _token_scores(sent, kept):
         shape, scoring = sent.value, kept.value
         u, w, n = (np.frombuffer(b"".join(tokens[c]), t) for c, t in (("u", np.uint64), ("w", np.uint64), ("learnt", np.uint32)))
         u, w, n, back = _summed_pairs(u, w, n)
+        tokens = tokens[["key", "grp", "size", "rows"]]
         bases = _bases(shape, scoring.head, answers, scoring.unknown, w)
         logs = _pair_logs(shape, scoring, u, w, n, bases, int(tokens["key"].iloc[0]))[back]
+        del u, w, n, bases, back
         groups, data, i = [], [], 0
         for group, size, rows in zip(tokens["grp"], tokens["size"], tokens["rows"], strict=True):
             size = np.frombuffer(size, np.uint32)
@@ -778,7 +781,7 @@ def language_scores(
     inner: int = 2,
     parameters: tuple[float, float, float, float] | None = None,
     table_share: float = 2e-6,
-    bucket_tokens: int = 1_200_000,
+    bucket_tokens: int = 600_000,
     slices: int = 2,
     seed: int = 7,
     id_col: str = "doc_id",

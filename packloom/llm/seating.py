@@ -35,7 +35,7 @@ STRENGTHS = 2.0 ** np.arange(-10, 13)
 lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-@functools.lru_cache(48)
+@functools.lru_cache(3)
 def log_stirling(d: float, size: int = EXACT) -> np.ndarray:
     """log S_d(n, t) for n, t up to ``size``; S(n + 1, t) = S(n, t - 1) + (n - t d) S(n, t)."""
     out = np.full((size + 1, size + 1), -np.inf)
@@ -228,7 +228,7 @@ def log_likelihood(s: np.ndarray, theta: float, d: float) -> float:
 def sample_parameters(s: np.ndarray, rng) -> tuple[float, float]:
     """(strength, discount) drawn from their posterior on the grid, all values
     equally likely before."""
-    grid = [(theta, d) for theta in STRENGTHS.tolist() for d in DISCOUNTS.tolist()]
+    grid = [(theta, d) for d in DISCOUNTS.tolist() for theta in STRENGTHS.tolist()]
     log = np.array([log_likelihood(s, *g) for g in grid])
     p = np.exp(log - log.max())
     return grid[rng.choice(len(grid), p=p / p.sum())]
