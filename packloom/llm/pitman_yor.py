@@ -376,7 +376,7 @@ def _bases(shape: Shape, head, answers: pd.DataFrame, unknown, w) -> np.ndarray:
     """Probabilities of words under the parent, words x samples: frequent words
     from ``head``, others as answered, else ``unknown``."""
     out = np.tile(np.asarray(unknown, np.float32), (len(w), 1))
-    at, some = _found(shape.head_h, w)
+    at, some = _found_often(shape.head_h, w)
     out[some] = head[at[some]]
     if len(answers):
         h = np.frombuffer(b"".join(answers["a"]), np.uint64)
