@@ -1,21 +1,24 @@
 """Set-similarity self-join on word shingles: grouped prefix join.
 
 The method (a GroupJoin): shingles get one global order; two sets of Jaccard
-similarity t or more must share three shingles among the first
-``n - ceil(t n) + 3`` of each (one would do, but unrelated texts share one
-by chance all too often as a corpus grows). Documents with identical prefixes and sizes
-collapse into one group, pairs of groups are filtered by size and position,
-then groups expand into members and full sets are compared.
+similarity t or more must share l shingles among the first
+``n - ceil(t n) + l`` of each (one would do, but unrelated texts share one
+by chance all too often as a corpus grows; l is three, more for long texts). Documents with
+identical prefixes and sizes collapse into one group, pairs of groups are
+filtered by size and position, then groups expand into members and full sets
+are compared.
 
 Global order. Shingle hashes are uniform, so "by hash" samples every set
-evenly; shingles common in the corpus go behind the rare ones, by their exact
-counts, so that boilerplate makes no long posting lists. Prefixes only ever
+evenly; shingles common in the corpus go behind the rare ones, by steps of
+their counts (a byte in a table of bounded size, where two shingles may share
+a cell), so that boilerplate makes no long posting lists. Prefixes only ever
 come from the low end of the hash range, so only that end is counted and
 shuffled ("low": 2.5 times the prefix's share of a set). Any order gives exact
 results; the counts only make it fast.
 
 Nothing is lost on large groups and nothing is quadratic in them: exact copies
-are one class from the start; a posting list longer than ``long_list`` links
+are one class from the start; a posting list gives a few pairs for each of its
+groups or, if more may match, a forest; one longer than ``long_list`` links
 its groups into a chain by size, which puts every pair that may match into the
 same candidate component at linear cost (a shingle in more than ``hub_list``
 sets has no list at all, its groups link to a node that stands for it and a
@@ -28,6 +31,7 @@ pair of blocks that may match is its own task.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -65,10 +69,17 @@ def _need(n, t_num: int, t_den: int):
     return -(-n * t_num // t_den)
 
 
+def _asked(n, t_num: int, t_den: int):
+    """Shingles that a set of n and a matching one of n or more share in their
+    prefixes. Long sets are asked for an eighth of what may differ: by chance
+    they have more than three in common with many others."""
+    return np.maximum(_shared(t_num, t_den), np.minimum(_need(n, t_num, t_den), n * (t_den - t_num) // (8 * t_den)))
+
+
 def _prefix_length(n, t_num: int, t_den: int):
-    """Any two matching sets share ``_shared`` shingles in prefixes this long,
-    save sets that small that only equal ones match."""
-    return n - _need(n, t_num, t_den) + _shared(t_num, t_den)
+    """Any two matching sets share what ``_asked`` says of the smaller one in
+    prefixes this long, save sets that small that only equal ones match."""
+    return n - _need(n, t_num, t_den) + int(_asked(n, t_num, t_den))
 
 
 def _fingerprint(x: np.ndarray) -> int:
@@ -115,58 +126,53 @@ def _partial_counts(buckets: int, bound: int):
     return run
 
 
-def _summed(least: int):
+def _summed(buckets: int, per: int, least: int, hub_list: int):
+    """One row for a bucket: its cells, each the largest step of count (0 under
+    ``least``) of the hashes that share it, and its hubs."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf["h"]), np.uint64)
         c = np.frombuffer(b"".join(pdf["c"]), np.uint32)
         o = np.argsort(h, kind="stable")
         h, c = h[o], c[o].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        c = np.add.reduceat(c, first) if len(h) else c
-        h = h[first]
-        keep = c >= least
-        return pd.DataFrame({"h": h[keep].view(np.int64), "c": c[keep]})
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        h, c = h[first], np.add.reduceat(c, first)
+        h, c = h[c >= least], c[c >= least]
+        cells = np.zeros(per, np.uint8)
+        np.maximum.at(cells, (h // U64(buckets) % U64(per)).astype(np.int64), np.maximum(1, np.log2(c) * 4).astype(np.uint8))
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1].to_numpy(), "cells": [zlib.compress(cells.tobytes(), 1)], "hubs": [h[c > hub_list].tobytes()]})
 
     return run
 
 
-def _common(low: DataFrame, buckets: int, bound: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (at most ``most``) commonest low hashes, rarest of them first, and
-    their counts. What reaches the driver is bounded by ``most``."""
+def _common(low: DataFrame, buckets: int, bound: int, least: int, hub_list: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of count of all low hashes, a row of cells for each bucket, and the
+    hashes in more than ``hub_list`` sets, in order. At most ``most`` cells."""
+    per = max(1, min(1 << 18, most // buckets))
     counts = low.mapInArrow(_partial_counts(buckets, bound), "bucket int, h binary, c binary")
-    counts = stage_table(counts.groupBy("bucket").applyInPandas(_summed(least), "h long, c long"), "counts")
-    steps = counts.groupBy(F.floor(F.log2("c") * 4).alias("step")).count().collect()
-    total, floor = 0, None
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        total += r["count"]
-        if total > most:
-            break
-        floor = r["step"]
-    if floor is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = counts.where(F.floor(F.log2("c") * 4) >= floor).toPandas().sort_values(["c", "h"])
-    return top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    cells, hubs = np.zeros((buckets, per), np.uint8), [np.zeros(0, np.uint64)]
+    for r in counts.groupBy("bucket").applyInPandas(_summed(buckets, per, least, hub_list), "bucket int, cells binary, hubs binary").collect():
+        cells[r.bucket] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
+        hubs.append(np.frombuffer(r.hubs, np.uint64))
+    return cells, np.sort(np.concatenate(hubs))
 
 
 class _Order:
-    """The global order: low rare shingles by hash, low common ones by count,
-    then the rest by hash."""
+    """The global order: low rare shingles by hash, low common ones by step of
+    count, then the rest by hash."""
 
-    def __init__(self, common: np.ndarray, bound: int):
-        o = np.argsort(common)
-        self.h, self.rank, self.bound = common[o], o, U64(bound)
+    def __init__(self, cells: np.ndarray, bound: int):
+        self.cells, self.bound = cells, U64(bound)
 
     def prefix(self, low: np.ndarray, p: int) -> np.ndarray:
         end = int(np.searchsorted(low, self.bound))
         x = low[:end]
-        if len(self.h) and end:
-            k = np.minimum(np.searchsorted(self.h, x), len(self.h) - 1)
-            hit = self.h[k] == x
-            if hit.any():
-                rare = x[~hit]
-                if len(rare) >= p:
-                    return rare[:p]
-                x = np.concatenate((rare, x[hit][np.argsort(self.rank[k[hit]])]))
+        buckets, per = (U64(k) for k in self.cells.shape)
+        step = self.cells[(x % buckets).astype(np.int64), (x // buckets % per).astype(np.int64)]
+        rare = x[step == 0]
+        if len(rare) >= p:
+            return rare[:p]
+        x = x[np.argsort(step, kind="stable")]
         return x[:p] if len(x) >= p else np.concatenate((x, low[end:]))[:p]
 
 
@@ -250,12 +256,18 @@ def _union(m: int):
     return parent, find
 
 
-def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Weight of a pair that stands for others: enough, whatever is asked for.
+_ENOUGH = 1 << 32
+#: Pairs that a list gives for each of its groups, at most.
+_PAIRS = 4
+
+
+def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From prefix entries: pairs of groups that connect whatever may match,
-    with weights. Lists of two or three groups give every pair a weight of
-    one. Of a list of up to ``long_list`` groups a spanning forest of the pairs
-    that sizes and positions allow is kept, of a longer one a chain by size;
-    they count as all that is asked for, being enough on their own."""
+    with weights and the smaller size. A list gives every pair that sizes and
+    positions allow a weight of one, if they are at most ``_PAIRS`` times its
+    groups. Else a spanning forest of them is kept, of a list longer than
+    ``long_list`` a chain by size; these have ``_ENOUGH`` weight on their own."""
     o = np.lexsort((g, n, h))
     h, g, n, at = h[o], g[o], n[o].astype(np.int64), at[o].astype(np.int64)
     new = np.ones(len(h), bool)
@@ -263,51 +275,61 @@ def _near(h, g, n, at, t_num: int, t_den: int, long_list: int) -> tuple[np.ndarr
     h, g, n, at = h[new], g[new], n[new], at[new]
     edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
     size = np.diff(edge)
-    us, vs, ws = [], [], []
+    us, vs, ws = ([np.zeros(0, np.int64)] for _ in range(3))
+
+    def add(i, j, weight):
+        us.append(i)
+        vs.append(j)
+        ws.append(np.full(len(i), weight, np.int64))
 
     def keep(i, j):
         most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
         return (n[i] * t_den >= t_num * n[j]) & (most * t_den >= t_num * (n[i] + n[j] - most))
 
-    two, three = edge[:-1][size == 2], edge[:-1][size == 3]
-    for i, j in ((two, two + 1), (three, three + 1), (three, three + 2), (three + 1, three + 2)):
-        ok = keep(i, j)
-        us.append(g[i[ok]])
-        vs.append(g[j[ok]])
-        ws.append(np.ones(ok.sum(), np.int64))
-    for a, k in zip(edge[:-1][size > 3], size[size > 3], strict=True):
+    for k in np.unique(size[size > 1]).tolist():
+        lists = edge[:-1][size == k]
         if k > long_list:
-            i = np.arange(a, a + k - 1)
+            i = (lists[:, None] + np.arange(k - 1)).ravel()
             i = i[n[i] * t_den >= t_num * n[i + 1]]
-            us.append(g[i])
-            vs.append(g[i + 1])
-            ws.append(np.full(len(i), _shared(t_num, t_den)))
+            add(i, i + 1, _ENOUGH)
             continue
-        i, j = np.triu_indices(k, 1)
-        ok = keep(a + i, a + j)
-        i, j = i[ok], j[ok]
-        if len(i) >= k:
-            _, find = (forest := _union(k))
+        x, y = np.triu_indices(k, 1)
+        step = max(1, (1 << 20) // len(x))
+        for a in range(0, len(lists), step):
+            i, j = (lists[a : a + step, None] + x).ravel(), (lists[a : a + step, None] + y).ravel()
+            own = np.repeat(np.arange(len(i) // len(x)), len(x))
+            ok = keep(i, j)
+            i, j, own = i[ok], j[ok], own[ok]
+            pairs = np.bincount(own, minlength=1)
+            few = (pairs <= _PAIRS * k)[own]
+            add(i[few], j[few], 1)
             kept = []
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = find(x), find(y)
-                if p != q:
-                    forest[0][q] = p
-                    kept.append((x, y))
-                    if len(kept) == k - 1:
-                        break
-            i, j = np.array(kept, np.int64).T
-        us.append(g[a + i])
-        vs.append(g[a + j])
-        ws.append(np.full(len(i), _shared(t_num, t_den)))
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
+            many = np.flatnonzero(~few)
+            for part in np.split(many, np.flatnonzero(np.diff(own[many])) + 1) if len(many) else []:
+                parent, find = _union(k)
+                left, base = k - 1, lists[a + own[part[0]]]
+                for z, p, q in zip(part.tolist(), (i[part] - base).tolist(), (j[part] - base).tolist(), strict=True):
+                    p, q = find(p), find(q)
+                    if p != q:
+                        parent[q] = p
+                        kept.append(z)
+                        left -= 1
+                        if not left:
+                            break
+            add(i[kept], j[kept], _ENOUGH)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return g[u], g[v], np.concatenate(ws), n[u]
 
 
 def _candidates(t_num: int, t_den: int, long_list: int):
+    """Entries of a bucket -> pairs of groups, what they share there and what
+    is asked for."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = np.frombuffer(b"".join(pdf["e"]), _ENTRY)
-        u, v, w = _near(e["h"], e["g"], e["n"], e["at"], t_num, t_den, long_list)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "w": w}).groupby(["u", "v"], as_index=False).sum()
+        u, v, w, n = _near(e["h"], e["g"], e["n"], e["at"], t_num, t_den, long_list)
+        pairs = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "w": w, "asked": _asked(n, t_num, t_den)})
+        return pairs.groupby(["u", "v"], as_index=False).agg({"w": "sum", "asked": "max"})
 
     return run
 
@@ -326,7 +348,7 @@ def links_among(sets: list[np.ndarray], t_num: int, t_den: int, long_list: int =
     at = np.arange(len(o)) - np.repeat(np.cumsum(size) - size, size)
     token, owner = token[o], owner[o]
     ok = (at < (size - _need(size, t_num, t_den) + 1)[owner]) & (count[token] > 1)
-    u, v, _ = _near(token[ok], owner[ok], size[owner[ok]], at[ok], t_num, t_den, long_list)
+    u, v, *_ = _near(token[ok], owner[ok], size[owner[ok]], at[ok], t_num, t_den, long_list)
     parent, find = _union(m)
     for a, b in zip(u.tolist(), v.tolist(), strict=True):
         parent[find(a)] = find(b)
@@ -413,7 +435,7 @@ def jaccard_join(
     long_list: int = 400,
     hub_list: int = 100_000,
     common_least: int = 4,
-    common_most: int = 1 << 20,
+    common_cells: int = 1 << 26,
     task_shingles: int = 1_000_000,
     buckets: int | None = None,
     in_one_task: int = 100_000,
@@ -443,20 +465,21 @@ def jaccard_join(
         held = rows.agg(F.sum(F.length("low"))).first()[0] or 0
         buckets = max(12, math.ceil(held / 8 / 2e6))
     some = rows.where("fp is not null")
-    common, counts = _common(some.select("low"), buckets, bound, common_least, common_most)
-    order = spark.sparkContext.broadcast(_Order(common, bound))
-    hubs = spark.sparkContext.broadcast(np.sort(common[counts > hub_list]))
+    cells, hubs = _common(some.select("low"), buckets, bound, common_least, hub_list, common_cells)
+    order = spark.sparkContext.broadcast(_Order(cells, bound))
+    hubs = spark.sparkContext.broadcast(hubs)
     low = some.select("fp", "n_shingles", "low")
     grouped = stage_table(low.mapInArrow(_prefixed(order, t_num, t_den), "fp long, n long, grp long, prefix binary"), "prefixes")
     slim = stage_table(rows.select("id", "n_shingles", "fp"), "rows")
     drop_table(rows)
+    free_shuffles(spark)
     rows = slim
     some = rows.where("fp is not null")
     groups = grouped.select("fp", "grp").distinct()
     entries = grouped.select("n", "grp", "prefix")
     pairs = entries.mapInArrow(_postings(hubs, buckets), "bucket int, e binary")
-    pairs = pairs.groupBy("bucket").applyInPandas(_candidates(t_num, t_den, long_list), "u long, v long, w long")
-    pairs = pairs.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= _shared(t_num, t_den)).select("u", "v")
+    pairs = pairs.groupBy("bucket").applyInPandas(_candidates(t_num, t_den, long_list), "u long, v long, w long, asked long")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("w").alias("w"), F.max("asked").alias("asked")).where("w >= asked").select("u", "v")
     near = components(pairs.union(entries.mapInArrow(_hubs(hubs, t_num, t_den), "u long, v long")), in_one_task)
 
     # Expand groups into classes; a group of several classes is itself a candidate.

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from packloom.llm import jaccard_join as module
 from packloom.llm.jaccard_join import jaccard_join, links_among, links_within
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -100,3 +101,16 @@ def test_copies_without_an_id_or_a_set_are_dealt_out(spark):
     """A class of more than a thousand copies, and as many rows without words."""
     rows = [(k, "one two three four five six") for k in range(1500)] + [(2000 + k, None) for k in range(1500)] + [(5000, "one two three four five")]
     assert run(spark, rows, 1, 8, 10) == [(d, len((t or "").split()), 0 if t else d) for d, t in rows]
+
+
+def test_shingles_in_common_by_chance_make_no_large_component(spark, monkeypatch):
+    """As in a large corpus, where every shingle is in some other texts too:
+    few texts have a candidate, not all of them one another."""
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(23, size=int(rng.integers(60, 240))))) for k in range(500)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(5)]
+    held = []
+    tasks = module._tasks
+    monkeypatch.setattr(module, "_tasks", lambda cands, *more: held.append(cands.count()) or tasks(cands, *more))
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+    assert 10 <= held[0] <= 100
