@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chain, drop_table, free_name, free_shuffles, stage_table, text_chunks, words_of
+from .common import U64, chain, drop_table, free_name, free_shuffles, shuffles_end, stage_table, text_chunks, words_of
 from .components import components
 
 
@@ -151,7 +151,9 @@ def _common(low: DataFrame, buckets: int, bound: int, least: int, hub_list: int,
     per = max(1, min(1 << 18, most // buckets))
     counts = low.mapInArrow(_partial_counts(buckets, bound), "bucket int, h binary, c binary")
     cells, hubs = np.zeros((buckets, per), np.uint8), [np.zeros(0, np.uint64)]
-    for r in counts.groupBy("bucket").applyInPandas(_summed(buckets, per, least, hub_list), "bucket int, cells binary, hubs binary").collect():
+    with shuffles_end(low.sparkSession):
+        rows = counts.groupBy("bucket").applyInPandas(_summed(buckets, per, least, hub_list), "bucket int, cells binary, hubs binary").collect()
+    for r in rows:
         cells[r.bucket] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
         hubs.append(np.frombuffer(r.hubs, np.uint64))
     return cells, np.sort(np.concatenate(hubs))

@@ -1,11 +1,14 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from packloom.llm.common import shuffles_end, stage_table, staged_tables
 from packloom.llm.decontamination import leaks
 from packloom.llm.jaccard_join import jaccard_join
 from packloom.llm.pii import pii_spans
-from packloom.llm.quality import quality_scores
+from packloom.llm.quality import good_quality, quality_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -100,3 +103,26 @@ def test_empty_tables(spark, odd):
         assert stage(spark, none, odd).count() == 0
 
 
+def test_quality_leaves_no_table(spark, sf):
+    """A table with the texts would lie on the disk through the stages after it."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    before = staged_tables()
+    kept = good_quality(docs, labels)
+    assert staged_tables() == before
+    good = {r.doc_id for r in quality_scores(docs, labels).collect() if r.predicted}
+    assert rows_of(kept) == rows_of(docs.where(F.col("doc_id").isin(good)))
+
+
+def test_shuffles_end_with_their_table(spark):
+    """Not when the driver collects garbage: what made the table is still held here."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for d in dirs for _, _, names in os.walk(d) for x in names if x.startswith("shuffle_")}
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    made = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = stage_table(made, "counts")
+    assert not files() - before
+    assert rows_of(table) == rows_of(made) and spark.conf.get(setting, None) == was
+    with pytest.raises(ZeroDivisionError), shuffles_end(spark):
+        1 / 0
+    assert spark.conf.get(setting, None) == was
