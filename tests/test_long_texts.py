@@ -4,6 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,14 @@ i = F.col("id").cast("string")
 rows = spark.range(2000).select(F.lit("en").alias("lang"), F.concat(F.lit("e"), i).alias("path"), i.alias("crate"), F.lit("lib").alias("kind"), F.repeat(F.concat(F.lit("abcdefgh "), i % 7), 12000).alias("rendered"), F.lit(1).alias("lines"))
 render.entries(rows, ["lang"]).write.format("noop").mode("overwrite").save()
 """
+WRITTEN = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from packloom.queries import QUERIES
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.parquet.columnarReaderBatchSize", "50").getOrCreate()
+spark.range(0, 1500, 1, 8).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.repeat(F.concat(F.lit("abcdefgh "), F.col("id") % 7), 10000).alias("text")).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(sys.argv[1] + "/documents.parquet")
+QUERIES["sink_entry_md"](spark, sys.argv[1]).write.parquet(sys.argv[1] + "/out")
+"""
 
 
 @pytest.mark.parametrize("long", [1, long_texts.LONG])
@@ -44,3 +53,27 @@ def test_long_text_fits():
     env = os.environ | {"PYTHONPATH": str(ROOT), "PYSPARK_PYTHON": sys.executable, "PYSPARK_SUBMIT_ARGS": "--driver-memory 512m pyspark-shell"}
     run = subprocess.run([sys.executable, "-c", FIT], env=env, capture_output=True, text=True, timeout=300)
     assert run.returncode == 0, run.stderr[-3000:]
+
+
+def test_long_text_is_written(tmp_path):
+    """One text of 150 MB as Parquet from a heap of 800 MB: the copies of Spark's writer for statistics and dictionary do not fit."""
+    env = os.environ | {"PYTHONPATH": str(ROOT), "PYSPARK_PYTHON": sys.executable, "PYSPARK_SUBMIT_ARGS": "--driver-memory 800m pyspark-shell"}
+    run = subprocess.run([sys.executable, "-c", WRITTEN, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+    docs = sorted((f"e{i}", f"### `e{i}` — s / lib (1 lines)\n```rust\n" + f"abcdefgh {i % 7}" * 10000 + "\n```\n\n") for i in range(1500))
+    text = pq.read_table(tmp_path / "out")["text"][0].as_py()
+    assert len(text) > 150_000_000 and text == "1500 entry file(s).\n\n" + "".join(t for _, t in docs)
+
+
+def test_session_of_a_large_table(spark, tmp_path):
+    """A large table's session has other defaults for Parquet files; what the caller set holds, and the caller's session stays as it is."""
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    key, before = "spark.sql.parquet.compression.codec", spark.conf.getAll
+    found = long_texts.table(spark, str(tmp_path / "t"), 1)
+    assert found.sparkSession.conf.get(key) == "uncompressed" and found.count() == 10
+    assert spark.conf.getAll == before and long_texts.table(spark, str(tmp_path / "t")).sparkSession is spark
+    spark.conf.set(key, "gzip")
+    try:
+        assert long_texts.table(spark, str(tmp_path / "t"), 1).sparkSession.conf.get(key) == "gzip"
+    finally:
+        spark.conf.unset(key)
